@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import chat, exact_dedup, mixing
+from leafmark.llm import chat, exact_dedup, mixing, simhash, token_files
 from leafmark.llm.shared import table
 
 
@@ -16,6 +16,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), token_files.default_path("byte_bpe_50k.json"))
+    return token_files.read_tokens(manifest).withColumnRenamed("id", "doc_id")
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.groups(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -85,7 +95,7 @@ FROM written GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op8_source_mixing, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_simhash_dedup, op8_source_mixing, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
