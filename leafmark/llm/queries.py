@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import chat, exact_dedup, mixing, simhash, token_files
+from leafmark.llm import bpe, chat, exact_dedup, mixing, simhash, token_files
 from leafmark.llm.shared import table
 
 
@@ -47,6 +47,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
+    return rows.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -95,7 +100,7 @@ FROM written GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_simhash_dedup, op8_source_mixing, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_simhash_dedup, op8_source_mixing, op9_chat_formatting, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
