@@ -18,6 +18,7 @@ order; an empty table makes no files and no rows; further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ MANIFEST = "file int, path string, docs long, nulls long, tokens long, width int
 def _store(path: str):
     import pyarrow.fs as fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
 
 
 def write_file(path: str, parts: Iterator[bytes]) -> None:
