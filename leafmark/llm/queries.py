@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import bpe, chat, exact_dedup, html_extract, mixing, simhash, token_files, warc
+from leafmark.llm import ann, bpe, chat, exact_dedup, html_extract, mixing, simhash, token_files, warc
 from leafmark.llm.shared import table
 
 
@@ -21,6 +21,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest).withColumnRenamed("id", "doc_id")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.groups(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -119,7 +123,7 @@ FROM written GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_simhash_dedup, op5_html_extraction, op6_warc, op8_source_mixing, op9_chat_formatting, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_nearest_neighbours, op4_simhash_dedup, op5_html_extraction, op6_warc, op8_source_mixing, op9_chat_formatting, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
