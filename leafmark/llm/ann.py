@@ -4,7 +4,7 @@ Vectors are dealt to shards of bounded size. For each of `PROJECTIONS` random di
 projections in sorted order; the arrays lie in one flat file per shard, which tasks map. A query opens a window around its own
 projection in every array; virtual rehashing widens the windows with the radius, and each step counts only what has come in.
 Vectors that collided in at least the threshold's share of windows are verified with the exact measure on the original
-vectors. A query ends in a shard once its k nearest verified lie within the radius, or enough vectors were verified.
+vectors. A query ends in a shard once its k nearest verified lie well within the radius, or enough vectors were verified.
 
 Query blocks meet every shard: the work per pair is bounded, and nothing but k rows per query and shard is shuffled behind it.
 
@@ -34,9 +34,11 @@ SHARD = 8192
 BLOCK = 512
 #: Radii of virtual rehashing, as distances of unit vectors; the half width of a window is the radius.
 RADII = (0.3, 0.6, 0.85, 1.0, 1.1, 1.15, 1.2, 1.3, 1.45, 2.01)
-#: A vector at the radius collides in 0.683 of the windows; 1.7 standard deviations fewer are asked for.
+#: A vector at the radius collides in 0.683 of the windows; two standard deviations fewer are asked for.
 COLLIDING = 0.6827
-DEVIATIONS = 1.7
+DEVIATIONS = 2.0
+#: A query ends where its k nearest lie within this share of the radius.
+NEAR = 0.96
 #: Verified vectors of a shard beyond which a query ends: a share, and so many at least.
 VERIFIED = 0.4
 VERIFIED_LEAST = 2048
@@ -102,7 +104,7 @@ class Shard:
                     found.append(fresh)
                     scores.append((self.units[fresh] * own[q]).sum(axis=1))
                     seen += len(fresh)
-                    if seen >= k and (seen >= max(VERIFIED * self.n, VERIFIED_LEAST) + k or np.partition(np.concatenate(scores), -k)[-k] >= 1 - radius * radius / 2):
+                    if seen >= k and (seen >= max(VERIFIED * self.n, VERIFIED_LEAST) + k or np.partition(np.concatenate(scores), -k)[-k] >= 1 - (NEAR * radius) ** 2 / 2):
                         break
             if not found:
                 continue

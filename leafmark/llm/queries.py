@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import ann, bpe, chat, exact_dedup, html_extract, mixing, simhash, token_files, warc
+from leafmark.llm import ann, bpe, chat, exact_dedup, html_extract, mixing, quality, simhash, token_files, warc
 from leafmark.llm.shared import table
 
 
@@ -40,6 +40,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(files, payload=False).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", (quality.fold(F.col("doc_id")) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -66,6 +72,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -123,7 +135,7 @@ FROM written GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_nearest_neighbours, op4_simhash_dedup, op5_html_extraction, op6_warc, op8_source_mixing, op9_chat_formatting, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_nearest_neighbours, op4_simhash_dedup, op5_html_extraction, op6_warc, op7_quality, op8_source_mixing, op9_chat_formatting, op10_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
