@@ -27,11 +27,12 @@ from pyspark.sql.window import Window
 from leafmark.llm.shared import new_path, staged
 from leafmark.llm.token_files import mapped, write_file
 
-PROJECTIONS = 128
+PROJECTIONS = 64
 SEED = 7
 #: Vectors of a shard on average, and queries of a block.
 SHARD = 8192
 BLOCK = 512
+MOST_TASKS = 10000
 #: Radii of virtual rehashing, as distances of unit vectors; the half width of a window is the radius.
 RADII = (0.3, 0.6, 0.85, 1.0, 1.1, 1.15, 1.2, 1.3, 1.45, 2.01)
 #: A vector at the radius collides in 0.683 of the windows; two standard deviations fewer are asked for.
@@ -136,7 +137,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     asking = rows.filter("asks").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), per_dim(1, block)).cast("int"))
     blocks = asking.groupBy("dim", "block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("vector")).alias("vectors"))
     # every block against every shard of its length: the contract's query set in blocks
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), per_dim(0, shard) - 1))).join(index, ["dim", "shard"]).repartition("dim", "shard", "block")
+    tasks = sum(-(-n // shard) * -(-q // block) for n, q in sizes.values())
+    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), per_dim(0, shard) - 1))).join(index, ["dim", "shard"])
+    pairs = pairs.repartition(max(1, min(tasks, MOST_TASKS)), "dim", "shard", "block")  # a pair is seconds of work, whatever its bytes
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
