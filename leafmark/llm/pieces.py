@@ -1,41 +1,82 @@
-"""Cutting a text where every byte-level BPE pattern cuts it too, so that equal pieces are encoded once."""
+"""Cutting texts where every byte-level BPE pattern cuts them too, so that equal pieces are encoded once."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-#: A space next to further white space: such texts are one piece.
-_WIDE = re.compile(r" \s|\s ")
-#: Distinct pieces a task remembers; beyond that it starts afresh.
-REMEMBERED = 1 << 19
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: A space next to white space, or any white space but the space and the line feed: such texts stay whole.
+_WIDE = r"[ \n] | \n|[\t\x{000B}-\r\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Distinct pieces that a task remembers as recent; as many older ones are kept beside them.
+REMEMBERED = 1 << 17
+#: Bytes of text that are cut and encoded at a time.
+SLICE_BYTES = 1 << 22
 
-def pieces(text: str) -> list[str]:
-    """text cut before each space: a pattern's match holds a single space only as its first character.
 
-    `" ?letters"`, `" ?digits"` and `" ?others"` begin with their space, and runs of white space are not cut.
-    """
-    if not text:
-        return []
-    if _WIDE.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+class Recent:
+    """A bounded memory in two generations: what was asked for since the last turn, and before it."""
+
+    def __init__(self, make: Callable[[list], list], most: int):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def of(self, keys: list) -> list:
+        """The value of each of some distinct keys, in order."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        new = set(keys) - self.young.keys()
+        again = new & self.old.keys()
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        made = list(new - again)
+        self.young.update(zip(made, self.make(made), strict=True))
+        return list(map(self.young.__getitem__, keys))
+
+
+def spread(values: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of values[p] for each place, end to end, and the number of ids up to each place (one more than places)."""
+    lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+    data = np.frombuffer(b"".join(values), dtype="<u4")
+    n = lengths[places]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    first = (np.cumsum(lengths) - lengths)[places]
+    return data[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 class Memory:
-    """Encodings of pieces, as little-endian unsigned 32-bit ids. encode: distinct new pieces to their ids' bytes."""
+    """Encodings of texts. encode: distinct strings to their ids, as little-endian unsigned 32-bit integers.
+
+    A text is cut before each single space: a pattern's match holds a space only as its first character (`" ?letters"`,
+    `" ?digits"`, `" ?others"`) or inside a run of white space, and a text with such runs isn't cut.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = REMEMBERED):
-        self.encode, self.most, self.known = encode, most, {}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list({p for parts in cut for p in parts})
-        self.known.update(zip(new, self.encode(new), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        self.encode = encode
+        self.spaced = Recent(lambda new: encode([" " + p for p in new]), most)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and the number of ids up to each text (one more than texts)."""
+        wide = pc.match_substring_regex(texts, _WIDE)
+        cut = pc.split_pattern(pc.if_else(wide, "", texts), " ")
+        starts = cut.offsets.to_numpy()
+        pieces = cut.flatten().dictionary_encode()
+        places, known = pieces.indices.to_numpy().copy(), pieces.dictionary.to_pylist()
+        # the first piece of a text has no space; a text that isn't cut is one
+        heads = pc.if_else(wide, texts, pc.list_element(cut, 0)).dictionary_encode()
+        whole = heads.dictionary.to_pylist()
+        values = self.spaced.of(known) + [i if t else b"" for t, i in zip(whole, self.encode(whole))]
+        places[starts[:-1] - starts[0]] = len(known) + heads.indices.to_numpy()
+        ids, ends = spread(values, places)
+        return ids, ends[starts - starts[0]]
+
+
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of strings or binaries in order, a bounded number of bytes at a time, one value at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield column.slice(at, to - at)
+        at = to

@@ -22,24 +22,30 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmark.llm.pieces import Memory
+from leafmark.llm.pieces import Memory, slices
 from leafmark.llm.shared import new_path, staged
 
 END_ID = 2
 #: Documents that one file should hold.
 FILE_DOCS = 8192
 #: Ids that a reader takes from a file at once.
-READ_TOKENS = 1 << 22
+READ_TOKENS = 1 << 20
+#: Distinct pieces that a worker remembers as recent, and pieces that it encodes in one string.
+REMEMBERED = 1 << 19
+JOINED = 4096
 
 MANIFEST = "file int, path string, docs long, nulls long, tokens long, width int"
+WRITTEN = pa.schema({"file": pa.int32(), "path": pa.string(), "docs": pa.int64(), "nulls": pa.int64(), "tokens": pa.int64(), "width": pa.int32()})
 
 
 def _store(path: str):
@@ -72,14 +78,35 @@ def mapped(path: str, dtype: str, start: int = 0, count: int | None = None) -> n
         return np.frombuffer(f.read_at(n * size, start * size), dtype=dtype)
 
 
+@lru_cache(maxsize=2)
 def encoder(tokenizer_path: str) -> Memory:
-    """Encodes texts by a tokenizers file, special tokens' strings as ordinary text."""
+    """Encodes texts by a tokenizers file, special tokens' strings as ordinary text; one for all tasks of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_path)
     own.encode_special_tokens = True
-    return Memory(lambda new: [np.array(e.ids, dtype="<u4").tobytes() for e in own.encode_batch_fast(new, add_special_tokens=False)])
+    spaced = np.zeros(own.get_vocab_size(), dtype=bool)
+    spaced[[i for token, i in own.get_vocab().items() if token.startswith("\u0120")]] = True  # byte-level vocabularies write a space so
+
+    def each(strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in own.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def encode(strings: list[str]) -> list[bytes]:
+        """Pieces that begin with their only space are encoded in one string: the tokens with a space begin the pieces."""
+        out: list[bytes] = []
+        for at in range(0, len(strings), JOINED):
+            part = strings[at : at + JOINED]
+            ids = np.frombuffer(each(["".join(part)])[0], dtype="<u4")
+            cuts = np.flatnonzero(spaced[ids])
+            if len(cuts) == len(part) and all(s.rfind(" ") == 0 for s in part):
+                data, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
+                out += [data[a:z] for a, z in zip((cuts * 4).tolist(), ends)]
+            else:
+                out += each(part)
+        return out
+
+    return Memory(encode, REMEMBERED)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = 2, file_docs: int = FILE_DOCS) -> DataFrame:
@@ -90,30 +117,35 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     files = max(1, -(-rows.count() // file_docs))
     dealt = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text").withColumn("file", F.spark_partition_id())
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = next((b for b in batches if len(b)), None)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         memory, lengths, ids, nulls = encoder(tokenizer_path), [], [], 0
-        file = int(first["file"].iloc[0])
-        end = np.array([end_id], dtype="<u4").tobytes()
+        file = first.column(2)[0].as_py()
 
         def parts() -> Iterator[bytes]:
             nonlocal nulls
-            for pdf in chain([first], batches):
-                encoded = memory.of(pdf["text"].tolist())
-                lengths.append(np.array([len(e) // 4 + 1 for e in encoded], dtype="<i8"))
-                ids.append(pdf["id"].fillna(0).to_numpy(dtype="<i8"))
-                nulls += int(pdf["id"].isna().sum())
-                yield np.frombuffer(b"".join(chain.from_iterable((e, end) for e in encoded)), dtype="<u4").astype(f"<u{width}").tobytes()
+            for b in chain([first], batches):
+                ids.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+                nulls += b.column(0).null_count
+                for texts in slices(b.column(1)):
+                    tokens, ends = memory.of(texts)
+                    lengths.append(np.diff(ends) + 1)
+                    out = np.full(len(tokens) + len(texts), end_id, dtype=f"<u{width}")
+                    own = np.ones(len(out), dtype=bool)
+                    own[np.cumsum(lengths[-1]) - 1] = False
+                    out[own] = tokens
+                    yield out.tobytes()
 
         path = f"{folder}/{file:08d}"
         write_file(f"{path}.bin", parts())
         write_file(f"{path}.ids", iter([a.tobytes() for a in ids]))
-        write_file(f"{path}.len", iter([a.tobytes() for a in lengths]))
-        yield pd.DataFrame([(file, path, sum(map(len, lengths)), nulls, int(sum(a.sum() for a in lengths)), width)], columns=["file", "path", "docs", "nulls", "tokens", "width"])
+        write_file(f"{path}.len", iter([a.astype("<i8").tobytes() for a in lengths]))
+        row = {"file": file, "path": path, "docs": sum(map(len, lengths)), "nulls": nulls, "tokens": int(sum(a.sum() for a in lengths)), "width": width}
+        yield pa.RecordBatch.from_pylist([row], schema=WRITTEN)
 
-    totals = staged(dealt.mapInPandas(write, MANIFEST), "token-totals")
+    totals = staged(dealt.mapInArrow(write, MANIFEST), "token-totals")
     before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     based = totals.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
 
