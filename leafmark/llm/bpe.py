@@ -23,32 +23,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.pieces import Memory
+from leafmark.llm.pieces import Memory, Recent, slices, spread
 
 LONG_WORD = 192
-#: Words that one recursive query contracts, tokens that one query decodes, characters encoded at a time.
+#: Words that one recursive query contracts, tokens that one query decodes, words that a task remembers as recent.
 QUERY_WORDS = 1 << 15
-QUERY_TOKENS = 1 << 20
-SLICE_CHARS = 1 << 22
+QUERY_TOKENS = 1 << 19
+REMEMBERED = 1 << 18
 
+#: Each row knows the place after it, so one number per word (rank, place, place after) tells what is contracted.
 CONTRACT = """
-WITH RECURSIVE step(round, word, pos, tok, rank) AS (
-  SELECT 0, s.word, s.pos, s.tok, m.rank
-  FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS following FROM letters) s
+WITH RECURSIVE step(round, word, pos, tok, after, rank) AS (
+  SELECT 0, s.word, s.pos, s.tok, s.after, m.rank
+  FROM (SELECT *, lead(tok) OVER w AS following, lead(pos) OVER w AS after FROM letters WINDOW w AS (PARTITION BY word ORDER BY pos)) s
   LEFT JOIN merges m ON m.pair = (s.tok::BIGINT << 32) | s.following
   UNION ALL
-  SELECT t.round, t.word, t.pos, t.tok, m.rank
+  SELECT t.round, t.word, t.pos, t.tok, t.after, m.rank
   FROM (
-    SELECT round + 1 AS round, word, pos, CASE WHEN pos = place THEN best ELSE tok END AS tok,
-           lead(CASE WHEN pos = place THEN best ELSE tok END) OVER (PARTITION BY word ORDER BY pos) AS following
+    SELECT round + 1 AS round, word, pos, tok, lead(pos) OVER w AS after, lead(tok) OVER w AS following
     FROM (
-      SELECT s.*, b.place, b.best, lag(pos) OVER (PARTITION BY s.word ORDER BY s.pos) AS previous
+      SELECT s.round, s.word, s.pos, CASE WHEN s.pos = (b.best >> 8) & 255 THEN (b.best >> 16)::INTEGER ELSE s.tok END AS tok
       FROM step s JOIN (
-        SELECT word, min((rank::BIGINT << 32) | pos) & 4294967295 AS place, min(rank) AS best
-        FROM step WHERE rank IS NOT NULL GROUP BY word) b ON b.word = s.word)
-    WHERE previous IS NULL OR previous != place) t
+        SELECT word, min((rank::BIGINT << 16) | (pos << 8) | after) AS best
+        FROM step WHERE rank IS NOT NULL GROUP BY word) b ON b.word = s.word
+      WHERE s.pos != b.best & 255)
+    WINDOW w AS (PARTITION BY word ORDER BY pos)) t
   LEFT JOIN merges m ON m.pair = (t.tok::BIGINT << 32) | t.following)
-SELECT word, tok FROM step QUALIFY round = max(round) OVER (PARTITION BY word) ORDER BY word, pos
+SELECT s.word, s.tok
+FROM step s JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) l ON l.word = s.word AND l.round = s.round
+ORDER BY s.word, s.pos
 """
 
 DECODE = """
@@ -65,13 +68,14 @@ class Vocabulary:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         pairs = [(x, y, r) for t, r in ranks.items() for k in range(1, len(t)) if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None]
         first, second, rank = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
         self._load("merges", {"pair": (first << 32) | second, "rank": rank.astype(np.int32)})
         # bytes travel as the 256 Latin-1 characters, since an ordered aggregation concatenates strings only
         self._load("vocabulary", {"id": np.fromiter(ranks.values(), dtype=np.uint32), "bytes": [t.decode("latin-1") for t in ranks]})
         self.letter = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.words = Recent(self.encode_words, REMEMBERED)
         self.memory = Memory(self._encode_pieces)
 
     def _load(self, name: str, columns: dict) -> None:
@@ -86,26 +90,38 @@ class Vocabulary:
         return found
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        cut = [[w.encode() for w in self.pattern.findall(p)] for p in pieces]
-        ids = self.encode_words(list({w for words in cut for w in words}))
-        return [b"".join([ids[w] for w in words]) for words in cut]
-
-    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Pieces that begin with their only space are cut in one string: the words with a space begin the pieces."""
+        words = self.pattern.findall("".join(pieces))
+        cuts = [i for i, w in enumerate(words) if w[0] == " "]
+        if len(cuts) == len(pieces) and all(p.rfind(" ") == 0 for p in pieces):
+            cuts.append(len(words))
+        else:
+            cut = [self.pattern.findall(p) for p in pieces]
+            words, cuts = [w for each in cut for w in each], np.cumsum([0, *map(len, cut)]).tolist()
+        distinct = pa.array(words, pa.string()).dictionary_encode()
+        ids, ends = spread(self.words.of(distinct.dictionary.to_pylist()), distinct.indices.to_numpy())
+        data, at = ids.tobytes(), (ends[cuts] * 4).tolist()
+        return [data[a:z] for a, z in zip(at, at[1:])]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words, each merged on its own, as little-endian unsigned 32-bit integers."""
-        out, hard = {}, []
-        for w in words:
+        out, hard = [b""] * len(words), []
+        for i, word in enumerate(words):
+            w = word.encode()
             token = self.ranks.get(w)
             if token is not None:
-                out[w] = np.array([token], dtype="<u4").tobytes()
+                out[i] = token.to_bytes(4, "little")
             elif len(w) > LONG_WORD:
-                out[w] = np.array(self.merge_long(w), dtype="<u4").tobytes()
+                out[i] = np.array(self.merge_long(w), dtype="<u4").tobytes()
             else:
-                hard.append(w)
+                hard.append((i, w))
         for at in range(0, len(hard), QUERY_WORDS):
-            out.update(self._contract(hard[at : at + QUERY_WORDS]))
+            part = hard[at : at + QUERY_WORDS]
+            for (i, _), ids in zip(part, self._contract([w for _, w in part])):
+                out[i] = ids
         return out
 
-    def _contract(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _contract(self, words: list[bytes]) -> list[bytes]:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         first = np.cumsum(lengths) - lengths
         rows = {
@@ -114,9 +130,9 @@ class Vocabulary:
             "tok": self.letter[np.frombuffer(b"".join(words), dtype=np.uint8)],
         }
         found = self._query("letters", rows, CONTRACT)
-        ends = np.cumsum(np.bincount(found["word"].to_numpy(), minlength=len(words))) * 4
+        ends = (np.cumsum(np.bincount(found["word"].to_numpy(), minlength=len(words))) * 4).tolist()
         data = found["tok"].to_numpy().astype("<u4").tobytes()
-        return {w: data[a:z] for w, a, z in zip(words, [0, *ends.tolist()], ends.tolist())}
+        return [data[a:z] for a, z in zip([0, *ends], ends)]
 
     def merge_long(self, word: bytes) -> list[int]:
         """The same contraction of one long word, with a heap of (rank, place) instead of rounds."""
@@ -144,26 +160,26 @@ class Vocabulary:
             i = after[i]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.memory.of(texts)
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        ids, ends = self.memory.of(texts)
+        data, at = ids.tobytes(), (ends * 4).tolist()
+        return [data[a:z] for a, z in zip(at, at[1:])]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each document's ids."""
-        out, at = [], 0
-        while at < len(ids):
-            to, n = at, 0
-            while to < len(ids) and (to == at or n + len(ids[to]) // 4 <= QUERY_TOKENS):
-                n += len(ids[to]) // 4
-                to += 1
-            lengths = [len(x) // 4 for x in ids[at:to]]
-            rows = {"doc": np.repeat(np.arange(to - at, dtype=np.int32), lengths), "pos": np.arange(n, dtype=np.int64), "id": np.frombuffer(b"".join(ids[at:to]), dtype="<u4")}
+        """The bytes of each document's ids, some tokens at a time."""
+        out: list[bytes] = []
+        ends = np.cumsum([len(x) // 4 for x in ids])
+        while len(out) < len(ids):
+            at = len(out)
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + QUERY_TOKENS, side="right")))
+            flat, n = np.frombuffer(b"".join(ids[at:to]), dtype="<u4"), np.diff(ends[at:to], prepend=ends[at - 1] if at else 0)
+            rows = {"doc": np.repeat(np.arange(to - at, dtype=np.int32), n), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}
             block = [b""] * (to - at)
             for doc, text, found, all_ in zip(*(c.to_pylist() for c in self._query("tokens", rows, DECODE).columns)):
                 if found != all_:
                     raise ValueError("an id is not in the vocabulary")
                 block[doc] = text.encode("latin-1")
             out += block
-            at = to
         return out
 
 
@@ -173,21 +189,13 @@ def vocabulary(ranks_path: str, pattern: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}, pattern)
 
 
-def _slices(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list]]:
-    """The batch's ids and values, a few million characters at a time."""
-    values, at, size = b.column(1).to_pylist(), 0, 0
-    for i, v in enumerate(values):
-        size += len(v or "")
-        if size >= SLICE_CHARS or i == len(values) - 1:
-            yield b.column(0).slice(at, i + 1 - at), values[at : i + 1]
-            at, size = i + 1, 0
-
-
-def _mapped(rows: DataFrame, schema: str, work: Callable[[list], dict]) -> DataFrame:
+def _mapped(rows: DataFrame, schema: str, work: Callable[[pa.Array], dict]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, values in _slices(b):
-                yield pa.record_batch({"id": ids} | work(values))
+            at = 0
+            for values in slices(b.column(1)):
+                yield pa.record_batch({"id": b.column(0).slice(at, len(values))} | work(values))
+                at += len(values)
 
     return rows.mapInArrow(run, schema)
 
@@ -203,13 +211,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """id and bytes of rows(id, ids)."""
-    return _mapped(rows.select("id", "ids"), "id long, bytes binary", lambda ids: {"bytes": pa.array(vocabulary(ranks_path, pattern).decode([x or b"" for x in ids]), pa.binary())})
+    held = rows.select("id", F.coalesce("ids", F.lit(b"")).alias("ids"))
+    return _mapped(held, "id long, bytes binary", lambda ids: {"bytes": pa.array(vocabulary(ranks_path, pattern).decode(ids.to_pylist()), pa.binary())})
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encoded and decoded again in one pass: id, ids, n_tokens, ids_sha256, decoded_sha256."""
 
-    def work(texts: list[str]) -> dict:
+    def work(texts: pa.Array) -> dict:
         own = vocabulary(ranks_path, pattern)
         ids = own.encode(texts)
         digests = [[hashlib.sha256(x).hexdigest() for x in each] for each in (ids, own.decode(ids))]
