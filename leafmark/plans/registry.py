@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafmark.plans import review_queries, text_queries
+from leafmark.plans import edit_queries, review_queries, text_queries
 
-FAMILIES = (text_queries, review_queries)
+FAMILIES = (text_queries, review_queries, edit_queries)
 
 
 def queries() -> dict:
