@@ -11,12 +11,15 @@ from leafmark.functions.text import format_date
 MOST_DEPTH = 100
 
 
-def expand(comments: DataFrame, most: int = MOST_DEPTH) -> DataFrame:
-    """comments(doc_id, comment_id, parent_id, ...) with root_id, depth and path; paths sort depth first."""
+def expand(comments: DataFrame, most: int = MOST_DEPTH, every: bool = False) -> DataFrame:
+    """comments(doc_id, comment_id, parent_id, ...) with root_id, depth and path; paths sort depth first.
+
+    every: not only threads but the subtree of each comment, as if it were a root.
+    """
     comments.createOrReplaceTempView("_comments")
     return comments.sparkSession.sql(f"""
         WITH RECURSIVE thread(doc_id, comment_id, root_id, depth, path) AS (
-          SELECT doc_id, comment_id, comment_id, 0, array(comment_id) FROM _comments WHERE parent_id IS NULL
+          SELECT doc_id, comment_id, comment_id, 0, array(comment_id) FROM _comments {'' if every else 'WHERE parent_id IS NULL'}
           UNION ALL
           SELECT c.doc_id, c.comment_id, t.root_id, t.depth + 1, concat(t.path, array(c.comment_id))
           FROM thread t JOIN _comments c ON c.doc_id = t.doc_id AND c.parent_id = t.comment_id WHERE t.depth < {most})
@@ -30,9 +33,9 @@ def token(author: Column, date: Column, done: Column, text: Column, depth: Colum
     return F.concat(F.lit("{>>"), arrow, author, day, F.when(done, " [resolved]").otherwise(""), F.lit(": "), text, F.lit("<<}"))
 
 
-def render(comments: DataFrame) -> DataFrame:
+def render(comments: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, root_id and the thread's markup, replies depth first."""
-    rows = expand(comments).join(comments.select("doc_id", "comment_id", "author", "date", "done", "text"), ["doc_id", "comment_id"])
+    rows = expand(comments, every=every).join(comments.select("doc_id", "comment_id", "author", "date", "done", "text"), ["doc_id", "comment_id"])
     told = token(F.col("author"), F.col("date"), F.col("done"), F.col("text"), F.col("depth"))
     ordered = F.array_sort(F.collect_list(F.struct("path", told.alias("token"))))
     return rows.groupBy("doc_id", "root_id").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), "").alias("thread"))
