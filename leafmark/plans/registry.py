@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafmark.plans import edit_queries, markup_queries, review_queries, text_queries
+from leafmark.plans import document_queries, edit_queries, markup_queries, review_queries, text_queries
 
-FAMILIES = (text_queries, review_queries, edit_queries, markup_queries)
+FAMILIES = (text_queries, review_queries, edit_queries, markup_queries, document_queries)
 
 
 def queries() -> dict:
