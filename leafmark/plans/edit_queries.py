@@ -82,6 +82,14 @@ def jsonl_fields(spark, sf_dir):
     return E.evaluated(_edit_lines(spark, sf_dir)).select("line_no", "edit.*")
 
 
+FIELDS = """
+WITH s AS (SELECT o_orderkey AS k, o_orderkey % 14 AS s FROM orders)
+SELECT k AS line_no, CASE WHEN s IN (3, 4) THEN NULL WHEN s = 6 THEN ' ' WHEN s IN (9, 10, 11) THEN 'AR_COMMENT_' || k ELSE 'AR_PARA_' || k END AS bookmark_id,
+  ['delete_element', 'Replace_Text', 'delete_element', NULL, NULL, 'replace_text', 'delete_element', 'rewrite', 'reply_to_comment', 'reply_to_comment', 'accept_revision', 'add_footnote', 'add_footnote', ''][s + 1] AS change_type,
+  CASE WHEN s NOT IN (3, 4) THEN '' END AS old_text, CASE WHEN s IN (3, 4) THEN NULL WHEN s = 1 THEN 'x "q" —' WHEN s = 5 THEN ' ' WHEN s = 11 THEN 'n' ELSE '' END AS new_text,
+  CASE WHEN s NOT IN (3, 4) THEN '' END AS add_comment, CASE WHEN s NOT IN (3, 4) THEN '' END AS confidence, NULL::BOOLEAN AS apply_change FROM s"""
+
+
 def _comment_ids(spark, sf_dir):
     return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100).alias("doc_id"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit(" AR_COMMENT_"), F.col("o_orderkey").cast("string"), F.lit(" ")).alias("comment_id"))
 
@@ -191,7 +199,7 @@ QUERIES = {
     "payload_filter": (payload_filter, PAYLOAD),
     "session_gate": (session_gate, SESSION),
     "jsonl_evaluate": (jsonl_evaluate, EVALUATE),
-    "jsonl_fields": (jsonl_fields, None),
+    "jsonl_fields": (jsonl_fields, FIELDS),
     "comment_coverage": (comment_coverage, COVERAGE),
     "anchor_reconcile": (anchor_reconcile, RECONCILE),
     "apply_plan": (apply_plan, _APPLY + " SELECT * FROM plan"),

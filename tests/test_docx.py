@@ -107,3 +107,20 @@ def test_rewriting_keeps_other_parts(spark, entries):
 def test_comment_without_extended_part_has_no_data(spark):
     one = spark.createDataFrame([("/p.docx", package(para(ranged("0", "x")), note(0, "A", "t", "P0")))], "path string, content binary")
     assert [(r.done, r.parent_id) for r in docx.comments(docx.parts(one)).collect()] == [(None, None)]
+
+
+def test_comments_are_added_with_parents(spark, entries):
+    new = spark.createDataFrame([("/in/threads.docx", 1, "D & E", "2026-07-03T00:00:00Z", "cost: $5 <b> \\ \"q\"", "0"), ("/in/threads.docx", 2, "F", "2026-07-03T00:00:00Z", "again", "4"), ("/in/table.docx", 1, "G", "2026-07-03T00:00:00Z", "first", None)], "path string, n int, author string, date string, text string, parent_id string")
+    changed = docx.add_comments(entries, new)
+    back = {(r.path[4:-5], r.comment_id): r for r in docx.comments(docx.parts(docx.rewritten(entries, changed))).collect()}
+    r = back["threads", "4"]
+    assert (r.author, r.text, r.parent_id, r.done) == ("D & E", 'cost: $5 <b> \\ "q"', "0", False)
+    assert back["threads", "5"].parent_id == "4" and back["threads", "1"].parent_id == "0" and back["threads", "2"].done
+    assert back["table", "0"].text == "first" and back["table", "0"].parent_id is None and len(back) == 7
+
+
+def test_hazards_and_format_changes(spark):
+    body = f'<w:p><w:r><w:t>a</w:t><w:tab/></w:r></w:p><w:p>{run("b", "<w:rPrChange/>")}{run("c", "<w:rPrChange/>")}</w:p>'
+    one = docx.parts(spark.createDataFrame([("/h.docx", package(body))], "path string, content binary"))
+    assert docx.preflight(docx.segments(one)).first().reasons == "the document holds tabs, breaks or deleted text"
+    assert "<!-- 2 formatting changes -->" in docx.export(one).first().markdown
