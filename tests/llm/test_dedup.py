@@ -76,11 +76,11 @@ def test_drop_copies_keeps_columns_and_one_row_of_each(spark):
     assert order([(r.doc_id,) for r in out.collect()]) == order([(r[0],) for r in brute(ROWS) if r[3]])
 
 
-def test_unequal_texts_of_one_digest_stop_the_job(spark):
+def test_hits_need_texts_of_their_own_digest(spark):
     docs = docs_of(spark, [(1, "a"), (2, "a")])
     hits = spark.createDataFrame([(bytes(32), 1, 2)], "digest binary, new_id long, old_id long")
     texts = exact_dedup.byte_checked(hits, docs, "doc_id", "text")
-    assert texts.count() == 0  # a digest without texts of its own is no hit
+    assert texts.count() == 0
 
 
 @pytest.mark.parametrize("run", [lambda d: exact_dedup.decisions(d), lambda d: exact_dedup.drop_copies(d), lambda d: simhash.groups(d), lambda d: simhash.keep_one(d)])
