@@ -139,3 +139,28 @@ def meta_of(pairs: Column, tag: str) -> Column:
     count = pairs["count"]["v"]
     good = (pairs["meta"]["t"] == "s") & (pairs["meta"]["v"] == tag) & (pairs["session"]["t"] == "s") & (pairs["count"]["t"] == "n") & F.rlike(count, F.lit(r"\A(?:-0{1,9}|[0-9]{1,9})\z"))
     return F.when(good, F.struct(pairs["session"]["v"].alias("session"), F.try_to_number(F.replace(count, F.lit("-"), F.lit("")), F.lit("999999999")).cast("int").alias("cnt")))
+
+
+MESSAGES = {
+    "PARSE": "The line is not one strict JSON object with a string bookmark_id and change_type.",
+    "MISSING_BOOKMARK": "The edit names no target.",
+    "MISSING_CHANGE_TYPE": "The edit names no kind of change.",
+    "UNKNOWN_CHANGE_TYPE": "The kind of change is not known.",
+    "REPLACE_REQUIRES_NEW_TEXT": "A replacement needs new text; use a deletion to remove text.",
+    "COMMENT_REQUIRES_TEXT": "A comment needs text.",
+    "REPLY_REQUIRES_COMMENT_TARGET": "A reply must target a comment.",
+    "REPLY_REQUIRES_TEXT": "A reply needs text.",
+    "REVISION_REQUIRES_RANGE_TARGET": "A verdict on a revision can't target a comment.",
+    "FOOTNOTE_REQUIRES_TEXT": "A footnote needs its text.",
+    "FOOTNOTE_REQUIRES_RANGE_TARGET": "A footnote must target text, not a comment.",
+    "NO_EXPORT_TOKEN": "No export is recorded: export the document first.",
+    "NO_PAYLOAD": "Nothing was pasted.",
+    "META_MISSING": "The first line is not the meta line.",
+    "TOKEN_MISMATCH": "The payload belongs to another export.",
+    "COUNT_MISMATCH": "The payload holds another number of edits than it says.",
+}
+
+
+def message_of(code: Column) -> Column:
+    """What a code means, null for an empty or unknown one."""
+    return F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])[code]

@@ -53,3 +53,23 @@ def burden_table(rows: DataFrame, by: str, count: str, hours: Column, wage: Colu
     """Responses, hours and cost per group with a Total row."""
     out = rows.rollup(by).agg(F.sum(count).alias("responses"), F.sum(F.col(count) * hours).alias("hours"), F.sum(F.col(count) * hours * wage).alias("cost"))
     return out.withColumn(by, F.coalesce(by, F.lit("Total")))
+
+
+SESSION = "version string, state string, filename string, content string, response string, verdict string, decisions array<struct<edit_id:int,decision:string,reviewed:boolean>>"
+
+
+def session_record(docs: DataFrame, decisions: DataFrame, version: str) -> DataFrame:
+    """One JSON session per document: docs(doc_id, state, filename, content, response, verdict), its package in base64."""
+    kept = decisions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("edit_id", "decision", "reviewed"))).alias("decisions"))
+    rows = docs.join(kept, "doc_id", "left").withColumn("content", F.base64("content")).withColumn("version", F.lit(version))
+    return rows.select("doc_id", F.to_json(F.struct("version", "state", "filename", "content", "response", "verdict", "decisions")).alias("session"))
+
+
+def resume(sessions: DataFrame, verdicts: DataFrame, version: str) -> DataFrame:
+    """Sessions(doc_id, session) as columns again. verdicts(doc_id, verdict) are computed anew from content and response:
+    another version, or a verdict that differs from the saved one, stops the job."""
+    rows = sessions.select("doc_id", F.from_json("session", SESSION).alias("s")).select("doc_id", "s.*")
+    again = verdicts.select("doc_id", F.col("verdict").alias("_again"))
+    fault = lambda why: F.raise_error(F.concat(F.lit(f"{why} in the session of document "), F.col("doc_id").cast("string"))).cast("string")
+    checked = F.when(~F.col("version").eqNullSafe(F.lit(version)), fault("another version")).when(~F.col("verdict").eqNullSafe(F.col("_again")), fault("another verdict")).otherwise(F.col("verdict"))
+    return rows.join(again, "doc_id", "left").withColumn("verdict", checked).withColumn("content", F.unbase64("content")).drop("_again")

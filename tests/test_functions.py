@@ -152,3 +152,7 @@ def test_minimal_span(spark):
     assert one(spark, span, a="“x”—", b='"x"-') is None
     r = one(spark, span, a="", b="new")
     assert (r.prefix, r.suffix, r.middle) == (0, 0, "new")
+
+
+def test_every_reason_has_a_message(spark):
+    assert all(one(spark, J.message_of(F.col("s")), s=code) == text for code, text in list(J.MESSAGES.items())[::5]) and one(spark, J.message_of(F.col("s")), s="") is None

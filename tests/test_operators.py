@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmark.operators import anchors as A
@@ -146,3 +147,14 @@ def test_registry(spark):
     rows = spark.createDataFrame([("a", 100.0, 1), ("a", 100.0, 2)], "k string, v double, y int")
     r = R.present_value(rows, ["k"], "v", "y", 0.07).first()
     assert abs(r.pv - (100 / 1.07 + 100 / 1.07**2)) < 1e-9 and abs(r.annualized - 100) < 1e-9
+
+
+def test_sessions_resume_or_stop(spark):
+    docs = spark.createDataFrame([(1, "RATIFYING", "a.docx", b"\x00PK", "r", None), (2, "VALIDATING", "b.docx", b"x", "r", "G2")], "doc_id long, state string, filename string, content binary, response string, verdict string")
+    decisions = spark.createDataFrame([(1, 2, "accept", True), (1, 0, "reject", False)], "doc_id long, edit_id int, decision string, reviewed boolean")
+    saved = R.session_record(docs, decisions, "1")
+    back = {r.doc_id: r for r in R.resume(saved, docs, "1").collect()}
+    assert bytes(back[1].content) == b"\x00PK" and [d.edit_id for d in back[1].decisions] == [0, 2] and back[2].verdict == "G2"
+    for other, version in ((docs.withColumn("verdict", F.lit("G1")), "1"), (docs, "2")):
+        with pytest.raises(Exception, match="in the session of document"):
+            R.resume(saved, other, version).collect()
