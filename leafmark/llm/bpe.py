@@ -28,7 +28,7 @@ from leafmark.llm.pieces import Memory, Recent, slices, spread
 LONG_WORD = 192
 #: Words that one recursive query contracts, tokens that one query decodes, words that a task remembers as recent.
 QUERY_WORDS = 1 << 15
-QUERY_TOKENS = 1 << 19
+QUERY_TOKENS = 1 << 18
 REMEMBERED = 1 << 18
 
 #: Each row knows the place after it, so one number per word (rank, place, place after) tells what is contracted.
@@ -68,7 +68,7 @@ class Vocabulary:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         pairs = [(x, y, r) for t, r in ranks.items() for k in range(1, len(t)) if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None]
         first, second, rank = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
         self._load("merges", {"pair": (first << 32) | second, "rank": rank.astype(np.int32)})

@@ -13,7 +13,7 @@ _WIDE = r"[ \n] | \n|[\t\x{000B}-\r\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2
 #: Distinct pieces that a task remembers as recent; as many older ones are kept beside them.
 REMEMBERED = 1 << 17
 #: Bytes of text that are cut and encoded at a time.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 
 
 class Recent:
