@@ -14,7 +14,8 @@ from leafmark.operators import passes as P
 from leafmark.operators import render as N
 from leafmark.plans.inputs import COMMENTS, LINES, OBSERVATIONS, comments, observations, table, texts
 from leafmark.plans.review_queries import _COUNTS, _PASSES
-from leafmark.sources import docx, persona
+from leafmark.sources import docx, inject, persona
+from leafmark.staging import settled
 from leafmark.streaming import reviews
 
 
@@ -43,15 +44,29 @@ def docx_export(spark, sf_dir):
     return docx.export(docx.parts(_packages(spark, sf_dir))).select("path", "markdown", F.size("blocks").cast("long").alias("blocks"))
 
 
-DOCX = f"""
-WITH {LINES}, k AS (SELECT *, CASE WHEN line_no % 3 = 2 THEN '{{++' || line || '++}}' ELSE line END AS s FROM lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(trim(text)) > 0)),
-b AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 3 THEN '## ' ELSE '' END || trim(s) AS s, line_no % 4 = 3 AS kept FROM k),
-c AS (SELECT doc_id, count(*) FILTER (line_no % 3 = 2) AS ins FROM k GROUP BY 1)
+def _exported(first: str = "line", more: str = "", added: int = 0) -> str:
+    """The markdown of `_packages`; first is the markup of each first line, more are rows of a document beside its lines."""
+    return f"""
+WITH {LINES}, k AS (SELECT *, CASE WHEN line_no % 3 = 2 THEN '{{++' || line || '++}}' WHEN line_no = 0 THEN {first} ELSE line END AS s FROM lines WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(trim(text)) > 0)),
+b AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 3 THEN '## ' ELSE '' END || trim(s) AS s, line_no % 4 = 3 AS kept FROM k {more}),
+c AS (SELECT doc_id, count(*) FILTER (line_no % 3 = 2) + {added} AS ins FROM k GROUP BY 1)
 SELECT '/in/' || b.doc_id || '.docx' AS path, '<!-- Redline export from: ' || b.doc_id || '.docx -->' || chr(10) || '<!-- ' || CASE WHEN any_value(ins) = 0 THEN 'no tracked changes or comments detected' WHEN any_value(ins) = 1 THEN '1 insertion' ELSE any_value(ins) || ' insertions' END || ' -->' || chr(10) ||
   '<!-- CriticMarkup legend: {{++ins++}} {{--del--}} {{~~old~>new~~}} {{==highlighted==}} {{>>comment<<}} -->' || chr(10) || chr(10) || string_agg(s, chr(10) || chr(10) ORDER BY line_no) || chr(10) AS markdown, count(*) AS blocks
 FROM b JOIN c ON c.doc_id = b.doc_id WHERE kept OR s != '' GROUP BY b.doc_id"""
 
 
+def docx_inject(spark, sf_dir):
+    """Every package gets a tracked insertion at the end of its first line and a new paragraph behind it."""
+    first = F.element_at(F.split("text", "\n"), 1)
+    end = F.length(first)
+    at = F.array(F.struct(F.lit(0).alias("body_idx"), *[F.lit(None).cast("int").alias(c) for c in ("row_no", "cell_no", "para_no")], F.lit(0).alias("run_index"), end.alias("char_start"), end.alias("char_end")))
+    rows = texts(spark, sf_dir).filter("length(trim(text)) > 0").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.lit("ins").alias("type"), F.lit(None).cast("string").alias("comment_text"), at.alias("targets"))
+    edits = rows.select("*", F.lit(1).alias("edit_id"), F.lit(" [checked]").alias("new_text"), F.lit(None).cast("string").alias("whole"))
+    edits = edits.unionByName(rows.select("*", F.lit(2).alias("edit_id"), F.lit("checked").alias("new_text"), F.lit("after").alias("whole")))
+    packages = inject.inject(docx.parts(_packages(spark, sf_dir)), edits, "R", "2026-01-02T00:00:00Z")
+    return docx.export(docx.parts(settled(packages))).select("path", "markdown", F.size("blocks").cast("long").alias("blocks"))
+
+
 def docx_parts(spark, sf_dir):
     return docx.parts(_packages(spark, sf_dir)).select("path", "ordinal", "name", (F.crc32("content") == F.col("crc32")).alias("sound"))
 
@@ -126,7 +141,8 @@ def undated_activity(spark, sf_dir):
 
 
 QUERIES = {
-    "docx_export": (docx_export, DOCX),
+    "docx_export": (docx_export, _exported()),
+    "docx_inject": (docx_inject, _exported("line || '{++ [checked]++}'", "UNION ALL SELECT DISTINCT doc_id, 0.5, '{++checked++}', true FROM k", 2)),
     "docx_parts": (docx_parts, "SELECT '/in/' || doc_id || '.docx' AS path, 0 AS ordinal, 'word/document.xml' AS name, true AS sound FROM documents WHERE length(trim(text)) > 0"),
     "persona_files": (persona_files, PERSONAS),
     "slice_heads": (slice_heads, HEADS),

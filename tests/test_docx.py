@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from leafmark.sources import docx
+from leafmark.sources import docx, inject
 
 NS = 'xmlns:w="urn:w" xmlns:r="urn:r" xmlns:w14="urn:w14" xmlns:w15="urn:w15" xmlns:a="urn:a" xmlns:m="urn:m"'
 
@@ -124,3 +126,70 @@ def test_hazards_and_format_changes(spark):
     one = docx.parts(spark.createDataFrame([("/h.docx", package(body))], "path string, content binary"))
     assert docx.preflight(docx.segments(one)).first().reasons == "the document holds tabs, breaks or deleted text"
     assert "<!-- 2 formatting changes -->" in docx.export(one).first().markdown
+
+
+def edit(i, kind, targets, new=None, note=None, whole=None):
+    return ("/e.docx", i, kind, new, note, whole, [(b, None, None, None, r, s, e) for b, r, s, e in targets])
+
+
+EDITS = "path string, edit_id int, type string, new_text string, comment_text string, whole string, targets array<struct<body_idx:int,row_no:int,cell_no:int,para_no:int,run_index:int,char_start:int,char_end:int>>"
+
+
+@pytest.fixture(scope="module")
+def editable(spark):
+    body = para(run("  The "), run("quick", "<w:b/>"), run(" fox jumps")) + para(run("Heading text"), style="Heading2") + para(run("item", "<w:i/>"), level=1) + para(run("last one"))
+    return docx.parts(spark.createDataFrame([("/e.docx", package(body))], "path string, content binary")).persist()
+
+
+def test_runs_stand_where_they_are_shown(editable):
+    shown = docx.export(editable).first().markdown
+    got = [(r.block_seq, r.run_index, r.char_offset, shown[r.md_start : r.md_end]) for r in docx.runs(editable).orderBy("md_start").collect()]
+    assert got == [(0, 0, 2, "The"), (0, 0, 5, " "), (0, 1, 0, "quick"), (0, 2, 0, " "), (0, 2, 1, "fox jumps"), (1, 0, 0, "Heading text"), (2, 0, 0, "item"), (3, 0, 0, "last one")]
+
+
+def injected(spark, entries, *edits):
+    return docx.parts(inject.inject(entries, spark.createDataFrame(list(edits), EDITS), "AR", "2026-07-05T00:00:00Z")).persist()
+
+
+def test_edits_are_injected_as_tracked_changes(spark, editable):
+    back = injected(
+        spark, editable,
+        edit(0, "sub", [(0, 0, 2, 6), (0, 1, 0, 2)], "A & "), edit(1, "ins", [(0, 2, 4, 4)], " <now>"), edit(2, "del", [(0, 2, 4, 10)]),
+        edit(3, "comment", [(1, 0, 0, 7)], note="why?"), edit(4, "comment", [(3, 0, 4, 4)], note="here"),
+        edit(5, "del", [(2, 0, 0, 0)], whole="delete"), edit(6, "ins", [(2, 0, 0, 0)], "- new item", whole="after"), edit(7, "ins", [(2, 0, 0, 0)], "plain", whole="after"),
+    )
+    shown = docx.export(back).first().markdown.split("-->\n\n", 1)[1]
+    assert shown == (
+        "{~~The **qu**~>**A &** ~~}**ick** fox{++ <now>++}{-- jumps--}\n\n## {==Heading==}{>>AR (2026-07-05): why?<<} text\n\n"
+        "  - {--*item*--}\n\n  - {++new item++}\n\n{++plain++}\n\nlast{====}{>>AR (2026-07-05): here<<} one\n"
+    )
+    parts = {r.name: bytes(r.content).decode() for r in back.collect()}
+    assert parts["[Content_Types].xml"].count("<Override") == 2 and parts["word/_rels/document.xml.rels"].count("<Relationship ") == 2
+    ids = re.findall(r'<w:(?:ins|del) w:id="(\d+)"', parts["word/document.xml"])
+    assert len(ids) == len(set(ids)) and min(map(int, ids)) == 1
+    assert parts["word/document.xml"].count("<w:rPr><w:del ") == 1 and "<w:t xml:space=\"preserve\">item" not in parts["word/document.xml"]
+
+
+def test_revisions_go_on_behind_those_of_the_package(spark):
+    one = docx.parts(spark.createDataFrame([("/e.docx", package(para(change("ins", "x"), run("abc")) + CELLS(("k", "v"))))], "path string, content binary"))
+    cell = ("/e.docx", 1, "ins", "!", None, None, [(1, 0, 1, 0, 0, 1, 1)])
+    back = injected(spark, one, edit(0, "ins", [(0, 1, 3, 3)], "d"), cell)
+    assert "{++x++}abc{++d++}\n\n| k | v{++!++} |" in docx.export(back).first().markdown
+    document = bytes(back.filter("name = 'word/document.xml'").first().content).decode()
+    assert re.findall(r'<w:ins w:id="(\d+)"', document) == ["9", "10", "11"] and 'xmlns:w14="urn:w14"' in document
+
+
+@pytest.mark.parametrize(
+    ("wrong", "why"),
+    [
+        (edit(0, "del", [(1, 0, 0, 99)]), "does not fit its run"),
+        (edit(0, "del", [(1, 7, 0, 1)]), "meets protected text"),
+        (edit(0, "ins", [(0, 0, 0, 0)], "x", whole="after")[:1] + (0, "del", None, None, "delete", [(4, None, None, None, 0, 0, 0)]), "is not a paragraph"),
+        (("/missing.docx", *edit(0, "ins", [(0, 0, 0, 0)], "x")[1:]), "has no word/document.xml"),
+    ],
+)
+def test_edits_that_do_not_fit_stop_the_job(spark, editable, wrong, why):
+    ops = inject.operations(spark.createDataFrame([wrong], EDITS).withColumn("comment_id", F.lit(None).cast("string")))
+    entries = editable.filter("path = '/e.docx'")
+    with pytest.raises(Exception, match=why):
+        inject.documents(entries, ops, "AR", "2026-07-05T00:00:00Z").collect()
