@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions.text import plural
+from leafmark.operators.threads import ancestry
 
 GAP_HOURS = 48
 KINDS = {"insertions": "insertion", "deletions": "deletion", "comments": "comment", "replies": "comment-reply"}
@@ -70,16 +71,13 @@ def merge_aliases(observations: DataFrame, aliases: DataFrame) -> DataFrame:
     return observations.join(aliases.withColumnRenamed("alias", "author"), "author", "left").withColumn("author", F.coalesce("canonical", "author")).drop("canonical")
 
 
-def resolve_aliases(aliases: DataFrame, most: int = 32) -> DataFrame:
-    """aliases(alias, canonical) with each canonical name that is an alias itself replaced by its own, to the end."""
-    spark = aliases.sparkSession
-    aliases.createOrReplaceTempView("_aliases")
-    return spark.sql(f"""
-        WITH RECURSIVE follow(alias, canonical, depth) AS (
-          SELECT alias, canonical, 0 FROM _aliases
-          UNION ALL
-          SELECT f.alias, a.canonical, f.depth + 1 FROM follow f JOIN _aliases a ON a.alias = f.canonical WHERE f.depth < {most})
-        SELECT alias, max_by(canonical, depth) AS canonical FROM follow GROUP BY alias""")
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
+    """aliases(alias, canonical) with each canonical name that is an alias itself replaced by its own, to the end; of names
+    in a cycle, by the least."""
+    found = ancestry(aliases.select(F.col("alias").alias("comment_id"), F.col("canonical").alias("parent_id")))
+    cycle = F.slice("path", F.lit(1), F.array_position("path", F.col("up")).cast("int"))
+    end = F.when(F.array_contains("path", F.col("up")), F.array_min(cycle)).otherwise(F.col("up"))
+    return found.groupBy(F.col("comment_id").alias("alias")).agg(F.max_by(end, F.size("path")).alias("canonical"))
 
 
 def author_tally(observations: DataFrame) -> DataFrame:

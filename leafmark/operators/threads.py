@@ -6,24 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.functions.text import format_date
+from leafmark.staging import settled
 
-#: Replies nested beyond this stop the expansion: it guards against cycles.
-MOST_DEPTH = 100
 
+def ancestry(rows: DataFrame, *within: str) -> DataFrame:
+    """rows(*within, comment_id, parent_id) as *within, comment_id, path and up.
 
-def expand(comments: DataFrame, most: int = MOST_DEPTH, every: bool = False) -> DataFrame:
+    path runs from the highest ancestor down to the comment. up is what stands above it: null above a root, else a parent
+    that has no row or, in a cycle, the one that the path would repeat. Each round puts the path of what stands above
+    before the path so far, so rounds grow with the logarithm of the depth, whatever it is.
+    """
+    path, up, ended = F.col("path"), F.col("up"), F.col("up").isNull() | F.coalesce(F.array_contains("path", F.col("up")), F.lit(False))
+    kind = rows.schema["comment_id"].dataType
+    first = rows.select(*within, "comment_id", F.array("comment_id").alias("path"), F.col("parent_id").cast(kind).alias("up"))
+    first = settled(first.withColumn("ended", ended))
+    done, rest = first.filter("ended"), first.filter("NOT ended")
+    while not rest.isEmpty():
+        above = done.unionByName(rest).select(*within, F.col("comment_id").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_up"), F.col("ended").alias("_ended"))
+        longer = rest.drop("ended").join(above, [*within, "up"], "left").withColumn("path", F.when(F.col("_path").isNull(), path).otherwise(F.concat("_path", path)))
+        # a walk that has come round repeats only what it has met, so its distinct part is the end of the path
+        excess = F.size("path") - F.size(F.array_distinct("path"))
+        cut = F.slice("path", F.col("_excess") + 1, F.size("path") - F.col("_excess"))
+        over = F.when(F.col("_path").isNull(), up).when(F.col("_excess") > 0, F.get("path", F.col("_excess") - 1)).otherwise(F.col("_up"))
+        longer = longer.withColumn("_excess", excess).withColumns({"path": cut, "up": over})
+        longer = settled(longer.select(*within, "comment_id", "path", "up", (F.coalesce("_ended", F.lit(True)) | ended).alias("ended")))
+        done, rest = done.unionByName(longer.filter("ended")), longer.filter("NOT ended")
+    return done.drop("ended")
+
+
+def expand(comments: DataFrame, every: bool = False) -> DataFrame:
     """comments(doc_id, comment_id, parent_id, ...) with root_id, depth and path; paths sort depth first.
 
-    every: not only threads but the subtree of each comment, as if it were a root.
+    every: not only threads but the subtree of each comment, as if it were a root; a cycle ends where it would repeat.
     """
-    comments.createOrReplaceTempView("_comments")
-    return comments.sparkSession.sql(f"""
-        WITH RECURSIVE thread(doc_id, comment_id, root_id, depth, path) AS (
-          SELECT doc_id, comment_id, comment_id, 0, array(comment_id) FROM _comments {'' if every else 'WHERE parent_id IS NULL'}
-          UNION ALL
-          SELECT c.doc_id, c.comment_id, t.root_id, t.depth + 1, concat(t.path, array(c.comment_id))
-          FROM thread t JOIN _comments c ON c.doc_id = t.doc_id AND c.parent_id = t.comment_id WHERE t.depth < {most})
-        SELECT * FROM thread""")
+    found = ancestry(comments, "doc_id")
+    if every:
+        found = found.withColumn("_from", F.explode(F.sequence(F.lit(1), F.size("path")))).withColumn("path", F.slice("path", F.col("_from"), F.size("path")))
+    else:
+        found = found.filter("up IS NULL")
+    return found.select("doc_id", "comment_id", F.get("path", F.lit(0)).alias("root_id"), (F.size("path") - 1).alias("depth"), "path")
 
 
 def token(author: Column, date: Column, done: Column, text: Column, depth: Column) -> Column:

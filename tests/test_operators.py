@@ -48,6 +48,28 @@ def test_threads_render_depth_first(spark):
     assert tuple(H.totals(df).first()) == (1, 4, 3, 1)
 
 
+def test_threads_of_any_depth_and_number(spark):
+    rows = [(1, i, i - 1 if i else None) for i in range(150)] + [(2, i, None if i % 2 == 0 else i - 1) for i in range(100)]
+    rows += [(3, 1, 2), (3, 2, 1), (3, 3, 2), (3, 4, 9), (3, 5, 4)]  # a cycle with a reply, and a parent that isn't there
+    df = spark.createDataFrame(rows, "doc_id long, comment_id long, parent_id long")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
+    try:
+        got = {(r.doc_id, r.comment_id): (r.root_id, r.depth, r.path) for r in H.expand(df).collect()}
+        every = sorted((r.root_id, r.comment_id, r.depth, r.path) for r in H.expand(df.filter("doc_id = 3"), every=True).collect())
+        number = H.expand(df.filter("doc_id = 1"), every=True).count()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {(1, i): (0, i, list(range(i + 1))) for i in range(150)} | {(2, i): (i - i % 2, i % 2, list(range(i - i % 2, i + 1))) for i in range(100)}
+    assert every == [(1, 1, 0, [1]), (1, 2, 1, [1, 2]), (1, 3, 2, [1, 2, 3]), (2, 1, 1, [2, 1]), (2, 2, 0, [2]), (2, 3, 1, [2, 3]), (3, 3, 0, [3]), (4, 4, 0, [4]), (4, 5, 1, [4, 5]), (5, 5, 0, [5])]
+    assert number == 150 * 151 // 2
+
+
+def test_aliases_of_any_length_and_in_cycles(spark):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(60)] + [("b", "c"), ("c", "a"), ("a", "b"), ("d", "c"), ("s", "s")]
+    got = {r.alias: r.canonical for r in P.resolve_aliases(spark.createDataFrame(pairs, "alias string, canonical string")).collect()}
+    assert got == {f"n{i}": "n60" for i in range(60)} | {k: "a" for k in "abcd"} | {"s": "s"}
+
+
 def test_payload_between_first_fences(spark):
     lines = ["note", "```JSONL", " a ", "", "b", "```", "after", "```", "c"]
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate(lines)] + [(2, 0, " x "), (2, 1, "")] + [(3, 0, "```"), (3, 1, "open")], "doc_id long, line_no long, line string")
