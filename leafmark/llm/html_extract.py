@@ -6,7 +6,7 @@ gets them whole, the grandparent half, further ancestors ever less. A container'
 density. The best container and those siblings that read like it are kept, with everything inside them, as blocks.
 
 Defined results: a null or empty page, and one without text outside what is dropped, give an empty text; unclosed and
-misnested tags are closed where the next block begins; equal rows give equal texts; an empty table gives no rows; further
+misnested tags, kept or dropped, are closed where the next block begins or with what they stand in; equal rows give equal texts; an empty table gives no rows; further
 columns are ignored.
 """
 
@@ -31,7 +31,7 @@ DROPPED = frozenset("head nav header footer aside form menu dialog button select
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 CONTAINER = frozenset("article main section div body html td blockquote".split())
 #: What an open element of the key ends at: a start tag of the value closes it.
-IMPLIED = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
+IMPLIED = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": BLOCK}
 #: Words in class, id or role of what surrounds an article.
 SURROUND = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|newsletter|subscri\w+|signup|login|paywall|menu|menubar|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|masthead|header|footer|copyright|sidebar|side-bar|rail|widget|related|recommend\w*|share|sharing|social|comments?|comment-?list|disqus|respond|replies|contentinfo|complementary|search|skip-link)(?:$|[\s_-])",
@@ -40,15 +40,15 @@ SURROUND = re.compile(
 
 
 class Node:
-    __slots__ = ("children", "level", "links", "parent", "points", "size", "tag")
+    __slots__ = ("children", "dropped", "level", "links", "parent", "points", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
+        self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
         self.points = self.size = self.links = 0
         self.level = parent.level + 1 if parent else 0
 
 
-#: Nesting beyond this is flattened.
+#: Nesting beyond this is flattened; dropped elements may nest as much again.
 MOST_LEVELS = 400
 
 
@@ -65,29 +65,31 @@ def _dropped(tag: str, attributes: str) -> bool:
 
 
 def tree(html: str) -> Node:
-    """The tree of what is kept; text nodes are strings, with their white space."""
+    """The tree of what is kept; text nodes are strings, with their white space. Dropped elements are opened and closed like
+    others, but no element has them as children."""
     root = at = Node("html", None)
-    place, skip, depth, low = 0, "", 0, None  # skip: the tag of the dropped element that is open, depth: how often
+    place, low = 0, None
+    flat: dict[str, int] = {}  # open elements that were flattened in the dropped one
     for m in _TOKEN.finditer(html):
         if m.start() < place:
             continue
-        if not skip and m.start() > place:
+        if not at.dropped and m.start() > place:
             at.children.append(unescape(html[place : m.start()]))
         place = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            if skip:
-                depth -= tag == skip
-                skip = skip if depth else ""
+            if at.dropped and flat.get(tag):
+                flat[tag] -= 1
                 continue
             node = at
             while node and node.tag != tag:
                 node = node.parent
-            if node and node.parent and not (tag not in BLOCK and any(n.tag in BLOCK for n in _between(at, node))):
+            # the end of an inline element doesn't reach over blocks, but it ends what is dropped from its start on
+            if node and node.parent and (tag in BLOCK or node.dropped and not node.parent.dropped or not any(n.tag in BLOCK for n in _between(at, node))):
                 at = node.parent
-            elif tag in BLOCK:
+            elif tag in BLOCK and not at.dropped:
                 at.children.append(Node("hr", at))
             continue
         own = m[3]
@@ -98,16 +100,11 @@ def tree(html: str) -> Node:
             if end >= 0 and (close := html.find(">", end)) >= 0:
                 place = close + 1
             continue
-        if skip:
-            depth += tag == skip and tag not in VOID and not own.endswith("/")
-            continue
         if tag in VOID:
-            at.children.append(" " if tag == "br" else Node("hr", at) if tag == "hr" else "")
+            if not at.dropped:
+                at.children.append(" " if tag == "br" else Node("hr", at) if tag == "hr" else "")
             continue
-        if _dropped(tag, own):
-            while at.tag in IMPLIED and tag in IMPLIED[at.tag]:
-                at = at.parent
-            skip, depth = tag, 1
+        if own.endswith("/") and (at.dropped or tag in ("svg", "math")):
             continue
         node = at  # close what the new element ends, within its list, row or table
         while node.parent and node.tag not in ("table", "ul", "ol", "dl", "select"):
@@ -116,13 +113,19 @@ def tree(html: str) -> Node:
             if node.tag in BLOCK and node.tag not in IMPLIED:
                 break
             node = node.parent
-        if at.level < MOST_LEVELS:
-            new = Node(tag, at)
-            at.children.append(new)
+        if not at.dropped:
+            flat.clear()
+        dropped = at.dropped or _dropped(tag, own)
+        if at.level < MOST_LEVELS or dropped and at.level < 2 * MOST_LEVELS:
+            new = Node(tag, at, dropped)
+            if not dropped:
+                at.children.append(new)
             at = new
+        elif dropped:
+            flat[tag] = flat.get(tag, 0) + 1
         elif tag in BLOCK:
             at.children.append(Node("hr", at))
-    if not skip and place < len(html):
+    if not at.dropped and place < len(html):
         at.children.append(unescape(html[place:]))
     return root
 

@@ -56,6 +56,25 @@ def test_html_main_text(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_dropped_elements_without_end_tags():
+    text = "<p>The article, with commas, and more.<p>Its second part, which is long enough, too."
+    want = "The article, with commas, and more.\n\nIts second part, which is long enough, too."
+    for page in (
+        f'<article><p class="ad">Buy{text}</article>',
+        f"<div><nav><a href=x>m</a></div><article>{text}</article>",
+        f"<div><aside><p>side<div>x</div></div><article>{text}</article>",
+        f"<html><head><title>T</title><meta charset=u><body><article>{text}</article>",
+        f"<html><head><title>T</title><article>{text}</article>",
+        f'<article><span class="share"><div>x</span>{text}</article>',
+        f"<article><nav><div/><p>x</nav>{text}</article>",
+        f"<article>{'<div>' * 390}<nav>{'<div>' * 900}x{'</div>' * 900}</nav>{text}</article>",
+    ):
+        assert html_extract.main_text(page) == want, page[:80]
+    assert html_extract.main_text('<article><ul><li class="share">x<li>One, two<li class="ad">y<li>three</ul></article>') == "One, two\n\nthree"
+    assert html_extract.main_text(f"<article>{text}<nav>m<div>n</div>o<nav>p</nav>q</nav></article>") == want
+
+
+
 @pytest.mark.parametrize("split", [64, 1 << 20])
 def test_warc_reads_back_any_split(spark, split):
     big = "x" * 300 + "\x1f"
