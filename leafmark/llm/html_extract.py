@@ -29,6 +29,7 @@ RAW = frozenset("script style textarea title noscript template iframe noembed no
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 DROPPED = frozenset("head nav header footer aside form menu dialog button select datalist svg math canvas audio video object map search".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINER = frozenset("article main section div body html td blockquote".split())
 #: What an open element of the key ends at: a start tag of the value closes it.
 IMPLIED = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": BLOCK}
@@ -205,14 +206,14 @@ def _best(root: Node) -> list[Node]:
             break
         up = up.parent
     around = best.parent.children if best.parent else [best]
-    least = max(10, 0.2 * _score(best))
+    least = 0.2 * _score(best)
 
     def like(n: Node) -> bool:
         if n is best or n.tag == best.tag and n.tag in MEANT:
             return True
-        if n.tag in PARAGRAPH:
-            return n.size > 80 and n.links < 0.25 * n.size
-        return n.tag in CONTAINER and _score(n) >= least
+        if n.tag in HEADING or n.links < 0.25 * n.size and (n.tag in PARAGRAPH or n.tag in CONTAINER and any(x.tag in PARAGRAPH and x.size for x in _nodes(n))):
+            return True
+        return n.tag in CONTAINER and n.tag not in PARAGRAPH and _score(n) >= least > 0
 
     return [n for n in around if not isinstance(n, str) and n.size and like(n)]
 

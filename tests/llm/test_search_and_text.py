@@ -56,6 +56,15 @@ def test_html_main_text(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_short_parts_next_to_the_best():
+    long, short = "word, " * 100, "close " * 33
+    want = " ".join(long.split())
+    assert html_extract.main_text(f"<body><h1>Short title</h1><div><p>{long}</div><p>End.</body>") == f"Short title\n\n{want}\n\nEnd."
+    assert html_extract.main_text(f"<body><div><p>{long}</p></div><div><p>{short}</p></div></body>") == f"{want}\n\n{short.strip()}"
+    assert html_extract.main_text(f"<body><div>{f'<p>{long}</p>' * 9}</div><div><p>{short}</p></div></body>").endswith(short.strip())
+    assert html_extract.main_text(f"<body><div><p>{long}</p></div><div><p><a href=x>{short}</a></p></div></body>") == want
+
+
 def test_html_dropped_elements_without_end_tags():
     text = "<p>The article, with commas, and more.<p>Its second part, which is long enough, too."
     want = "The article, with commas, and more.\n\nIts second part, which is long enough, too."
