@@ -2,19 +2,23 @@
 
 A task cuts its texts by the vocabulary's pattern and encodes the distinct words it hasn't met. Words that are tokens are
 looked up; the others become token-position rows that a recursive query contracts: each round joins neighbouring tokens
-with the merge table and contracts every word's leftmost pair of minimum rank, until no word has a pair. Words over
-`LONG_WORD` bytes would take a round per byte, so a heap merges them in the same order. Decoding joins the ids with the
-vocabulary and concatenates each document's bytes by an ordered aggregation.
+with the merge table and contracts every word's leftmost pair of minimum rank, until no word has a pair. Decoding joins
+the ids with the vocabulary and concatenates each document's bytes by an ordered aggregation.
+
+Words of any length go this way. They are cut beforehand between bytes that no token holds next to each other, which no
+merge can join. Of a part over `SHORT` bytes a round contracts all pairs of the minimum rank that the leftmost-first order
+would contract one after the other: every second one of a run, and only where the merged token is in no pair of a lower
+rank. A query runs so many rounds that its rows stay below `QUERY_ROWS`, then the next goes on with what isn't at its end.
 
 Defined results: null and empty texts have no ids; equal and repeated rows are encoded alike; null ids are carried; an
-empty table gives no rows; further columns are ignored; ids outside the vocabulary stop the job.
+empty table gives no rows; further columns are ignored; ids outside the vocabulary stop the job. Encoded texts of a
+slice, at least one document, are in a task's memory at once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,33 +29,59 @@ from pyspark.sql import functions as F
 
 from leafmark.llm.pieces import Memory, Recent, slices, spread
 
-LONG_WORD = 192
-#: Words that one recursive query contracts, tokens that one query decodes, words that a task remembers as recent.
-QUERY_WORDS = 1 << 15
-QUERY_TOKENS = 1 << 18
-REMEMBERED = 1 << 18
+#: Bytes of a part of a word of which a round contracts one pair; of longer ones it contracts many.
+SHORT = 64
+#: Bytes that one recursive query begins with, rows that it makes, tokens that one query decodes.
+QUERY_BYTES = 1 << 18
+QUERY_ROWS = 1 << 21
+QUERY_TOKENS = 1 << 17
+#: Bytes of words with their ids that a task remembers as recent; as many older ones are kept beside them.
+REMEMBERED = 16 << 20
+
+#: Rows of step: a token at a place, the place and the token after it in its word, and the rank of both together. One
+#: number tells rank and place of the pair that is contracted: its token is its rank.
+CONTRACT_ONE = """
+SELECT s.round + 1 AS round, s.word, s.pos, CASE WHEN s.pos = h.pos THEN h.tok ELSE s.tok END AS tok,
+       CASE WHEN s.pos = h.pos THEN h.next_pos ELSE s.next_pos END AS next_pos,
+       CASE WHEN s.pos = h.pos THEN h.next_tok WHEN s.next_pos = h.pos THEN h.tok ELSE s.next_tok END AS next_tok
+FROM step s JOIN (
+  SELECT b.word, b.best & 1099511627775 AS pos, (b.best >> 40)::INTEGER AS tok, b.gone, g.next_pos, g.next_tok
+  FROM (SELECT word, min((rank::BIGINT << 40) | pos) AS best, arg_min(next_pos, (rank::BIGINT << 40) | pos) AS gone
+        FROM step WHERE rank IS NOT NULL AND round < {rounds} GROUP BY word) b
+  JOIN step g ON g.pos = b.gone) h ON h.word = s.word
+WHERE s.pos != h.gone
+"""
+
+CONTRACT_MANY = """
+WITH low AS (SELECT word, min((rank::BIGINT << 40) | pos) AS best FROM step WHERE rank IS NOT NULL AND round < {rounds} GROUP BY word),
+hits AS (
+  SELECT s.word, s.pos, s.next_pos, s.rank FROM step s JOIN low ON low.word = s.word AND s.rank = low.best >> 40
+  WHERE s.pos = low.best & 1099511627775 OR s.rank NOT IN (SELECT rank FROM early)),
+runs AS (
+  SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY word ORDER BY pos) AS run, row_number() OVER (PARTITION BY word ORDER BY pos) AS n
+  FROM (SELECT *, coalesce(lag(next_pos) OVER (PARTITION BY word ORDER BY pos) != pos, true) AS fresh FROM hits)),
+taken AS (SELECT pos, next_pos, rank FROM (SELECT *, n - min(n) OVER (PARTITION BY word, run) AS k FROM runs) WHERE k % 2 = 0),
+merged AS (SELECT t.pos, t.rank AS tok, g.next_pos, g.next_tok FROM taken t JOIN step g ON g.pos = t.next_pos),
+left_over AS (
+  SELECT s.round, s.word, s.pos, coalesce(a.tok, s.tok) AS tok, CASE WHEN a.pos IS NULL THEN s.next_pos ELSE a.next_pos END AS next_pos,
+         CASE WHEN a.pos IS NULL THEN s.next_tok ELSE a.next_tok END AS next_tok
+  FROM step s JOIN low ON low.word = s.word LEFT JOIN merged a ON a.pos = s.pos WHERE s.pos NOT IN (SELECT next_pos FROM taken))
+SELECT l.round + 1 AS round, l.word, l.pos, l.tok, l.next_pos, coalesce(t.rank, l.next_tok) AS next_tok
+FROM left_over l LEFT JOIN taken t ON t.pos = l.next_pos
+"""
 
-#: Each row knows the place after it, so one number per word (rank, place, place after) tells what is contracted.
+#: The last round's rows of each word, and whether a pair is left.
 CONTRACT = """
-WITH RECURSIVE step(round, word, pos, tok, after, rank) AS (
-  SELECT 0, s.word, s.pos, s.tok, s.after, m.rank
-  FROM (SELECT *, lead(tok) OVER w AS following, lead(pos) OVER w AS after FROM letters WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-  LEFT JOIN merges m ON m.pair = (s.tok::BIGINT << 32) | s.following
+WITH RECURSIVE step AS (
+  SELECT 0 AS round, l.word, l.pos, l.tok, l.next_pos, l.next_tok, m.rank
+  FROM letters l LEFT JOIN merges m ON m.pair = (l.tok::BIGINT << 32) | l.next_tok
   UNION ALL
-  SELECT t.round, t.word, t.pos, t.tok, t.after, m.rank
-  FROM (
-    SELECT round + 1 AS round, word, pos, tok, lead(pos) OVER w AS after, lead(tok) OVER w AS following
-    FROM (
-      SELECT s.round, s.word, s.pos, CASE WHEN s.pos = (b.best >> 8) & 255 THEN (b.best >> 16)::INTEGER ELSE s.tok END AS tok
-      FROM step s JOIN (
-        SELECT word, min((rank::BIGINT << 16) | (pos << 8) | after) AS best
-        FROM step WHERE rank IS NOT NULL GROUP BY word) b ON b.word = s.word
-      WHERE s.pos != b.best & 255)
-    WINDOW w AS (PARTITION BY word ORDER BY pos)) t
-  LEFT JOIN merges m ON m.pair = (t.tok::BIGINT << 32) | t.following)
-SELECT s.word, s.tok
-FROM step s JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) l ON l.word = s.word AND l.round = s.round
-ORDER BY s.word, s.pos
+  SELECT x.round, x.word, x.pos, x.tok, x.next_pos, x.next_tok, m.rank
+  FROM ({contracted}) x LEFT JOIN merges m ON m.pair = (x.tok::BIGINT << 32) | x.next_tok)
+SELECT s.word, s.pos, s.tok, s.next_pos, s.next_tok, l.more
+FROM step s JOIN (
+  SELECT word, round, bool_or(rank IS NOT NULL) AS more FROM step
+  GROUP BY word, round QUALIFY round = max(round) OVER (PARTITION BY word)) l ON l.word = s.word AND l.round = s.round
 """
 
 DECODE = """
@@ -68,13 +98,20 @@ class Vocabulary:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        # the queries' rows are bounded, so nothing is spilled
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         pairs = [(x, y, r) for t, r in ranks.items() for k in range(1, len(t)) if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None]
         first, second, rank = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
+        del pairs
         self._load("merges", {"pair": (first << 32) | second, "rank": rank.astype(np.int32)})
+        # tokens that are in a pair of a lower rank than their own: what is contracted next may stand before the next such token
+        self._load("early", {"rank": np.unique(np.concatenate((first[rank < first], second[rank < second]))).astype(np.int32)})
         # bytes travel as the 256 Latin-1 characters, since an ordered aggregation concatenates strings only
         self._load("vocabulary", {"id": np.fromiter(ranks.values(), dtype=np.uint32), "bytes": [t.decode("latin-1") for t in ranks]})
         self.letter = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.adjoin = np.zeros(1 << 16, dtype=bool)  # two bytes that some token holds next to each other
+        for t in ranks:
+            self.adjoin[[a << 8 | b for a, b in zip(t, t[1:])]] = True
         self.words = Recent(self.encode_words, REMEMBERED)
         self.memory = Memory(self._encode_pieces)
 
@@ -83,8 +120,8 @@ class Vocabulary:
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def _query(self, name: str, columns: dict, sql: str) -> pa.Table:
-        self.con.register(name, pa.table(columns))
+    def _query(self, name: str, rows: pa.Table, sql: str) -> pa.Table:
+        self.con.register(name, rows)
         found = self.con.sql(sql).to_arrow_table()
         self.con.unregister(name)
         return found
@@ -105,82 +142,69 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words, each merged on its own, as little-endian unsigned 32-bit integers."""
-        out, hard = [b""] * len(words), []
+        out, hard, encoded = [b""] * len(words), [], []
         for i, word in enumerate(words):
             w = word.encode()
             token = self.ranks.get(w)
-            if token is not None:
-                out[i] = token.to_bytes(4, "little")
-            elif len(w) > LONG_WORD:
-                out[i] = np.array(self.merge_long(w), dtype="<u4").tobytes()
+            if token is None:
+                hard.append(i)
+                encoded.append(w)
             else:
-                hard.append((i, w))
-        for at in range(0, len(hard), QUERY_WORDS):
-            part = hard[at : at + QUERY_WORDS]
-            for (i, _), ids in zip(part, self._contract([w for _, w in part])):
+                out[i] = token.to_bytes(4, "little")
+        at, ends = 0, np.cumsum(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)))
+        while at < len(hard):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + QUERY_BYTES, side="right")))
+            for i, ids in zip(hard[at:to], self.contract(encoded[at:to])):
                 out[i] = ids
+            at = to
         return out
 
-    def _contract(self, words: list[bytes]) -> list[bytes]:
+    def contract(self, words: list[bytes], short: int = SHORT, query_rows: int = QUERY_ROWS) -> list[bytes]:
+        """The ids of some words, contracted by the recursive query."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        first = np.cumsum(lengths) - lengths
-        rows = {
-            "word": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
-            "pos": (np.arange(lengths.sum()) - np.repeat(first, lengths)).astype(np.int32),
-            "tok": self.letter[np.frombuffer(b"".join(words), dtype=np.uint8)],
-        }
-        found = self._query("letters", rows, CONTRACT)
-        ends = (np.cumsum(np.bincount(found["word"].to_numpy(), minlength=len(words))) * 4).tolist()
-        data = found["tok"].to_numpy().astype("<u4").tobytes()
-        return [data[a:z] for a, z in zip([0, *ends], ends)]
-
-    def merge_long(self, word: bytes) -> list[int]:
-        """The same contraction of one long word, with a heap of (rank, place) instead of rounds."""
-        n = len(word)
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        rank = lambda i: self.ranks.get(word[i : end[after[i]]]) if after[i] < n else None
-        own = [rank(i) for i in range(n)]
-        heap = [(r, i) for i, r in enumerate(own) if r is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if own[i] != r:
-                continue
-            gone = after[i]
-            end[i], after[i], own[gone] = end[gone], after[gone], None
-            if after[i] < n:
-                before[after[i]] = i
-            for j in (before[i], i) if before[i] >= 0 else (i,):
-                own[j] = rank(j)
-                if own[j] is not None:
-                    heapq.heappush(heap, (own[j], j))
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[word[i : end[i]]])
-            i = after[i]
-        return out
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        begins = np.zeros(len(data), dtype=bool)
+        begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        begins[1:] |= ~self.adjoin[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        part, ends = np.cumsum(begins, dtype=np.int32) - 1, np.append(begins[1:], True)[: len(data)]
+        tok = self.letter[data]
+        after = pa.array(np.arange(1, len(data) + 1), mask=ends), pa.array(np.append(tok[1:], 0).astype(np.int32)[: len(data)], mask=ends)
+        letters = pa.table({"word": part, "pos": np.arange(len(data)), "tok": tok, "next_pos": after[0], "next_tok": after[1]})
+        few = np.bincount(part)[part] <= short if len(data) else begins
+        pos, ids = [], []
+        for mask, contracted in ((few, CONTRACT_ONE), (~few, CONTRACT_MANY)):
+            rows = letters.filter(pa.array(mask))
+            while rows.num_rows:
+                found = self._query("letters", rows, CONTRACT.format(contracted=contracted.format(rounds=max(1, query_rows // rows.num_rows))))
+                more = found["more"].to_numpy()
+                pos.append(found["pos"].to_numpy()[~more])
+                ids.append(found["tok"].to_numpy()[~more])
+                rows = found.filter(pa.array(more)).drop_columns(["more"])
+        if not pos:
+            return [b""] * len(words)
+        place = np.concatenate(pos)
+        order = np.argsort(place)
+        cuts = (np.searchsorted(place[order], np.concatenate(([0], np.cumsum(lengths)))) * 4).tolist()
+        flat = np.concatenate(ids)[order].astype("<u4").tobytes()
+        return [flat[a:z] for a, z in zip(cuts, cuts[1:])]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         ids, ends = self.memory.of(texts)
         data, at = ids.tobytes(), (ends * 4).tolist()
         return [data[a:z] for a, z in zip(at, at[1:])]
 
-    def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each document's ids, some tokens at a time."""
-        out: list[bytes] = []
-        ends = np.cumsum([len(x) // 4 for x in ids])
-        while len(out) < len(ids):
-            at = len(out)
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + QUERY_TOKENS, side="right")))
-            flat, n = np.frombuffer(b"".join(ids[at:to]), dtype="<u4"), np.diff(ends[at:to], prepend=ends[at - 1] if at else 0)
-            rows = {"doc": np.repeat(np.arange(to - at, dtype=np.int32), n), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}
-            block = [b""] * (to - at)
-            for doc, text, found, all_ in zip(*(c.to_pylist() for c in self._query("tokens", rows, DECODE).columns)):
-                if found != all_:
+    def decode(self, ids: list[bytes], query_tokens: int = QUERY_TOKENS) -> list[bytes]:
+        """The bytes of each document's ids, some tokens at a time; a document may go over several queries."""
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, doc = np.frombuffer(b"".join(ids), dtype="<u4"), np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        out: list[list[bytes]] = [[] for _ in ids]
+        for at in range(0, len(flat), query_tokens):
+            rows = {"doc": doc[at : at + query_tokens], "pos": np.arange(len(doc[at : at + query_tokens]), dtype=np.int32), "id": flat[at : at + query_tokens]}
+            for d, text, found, n in zip(*(c.to_pylist() for c in self._query("tokens", pa.table(rows), DECODE).columns)):
+                if found != n:
                     raise ValueError("an id is not in the vocabulary")
-                block[doc] = text.encode("latin-1")
-            out += block
-        return out
+                out[d].append(text.encode("latin-1"))
+        return [b"".join(parts) for parts in out]
 
 
 @lru_cache(maxsize=2)

@@ -10,27 +10,32 @@ import pyarrow.compute as pc
 
 #: A space next to white space, or any white space but the space and the line feed: such texts stay whole.
 _WIDE = r"[ \n] | \n|[\t\x{000B}-\r\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-#: Distinct pieces that a task remembers as recent; as many older ones are kept beside them.
-REMEMBERED = 1 << 17
+#: Bytes of distinct pieces with their ids that a task remembers as recent; as many older ones are kept beside them.
+REMEMBERED = 20 << 20
+#: What an entry of a dictionary of Python's strings and bytes takes besides their contents.
+ENTRY_BYTES = 180
 #: Bytes of text that are cut and encoded at a time.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 class Recent:
-    """A bounded memory in two generations: what was asked for since the last turn, and before it."""
+    """A memory of so many bytes in two generations: what was asked for since the last turn, and before it."""
 
     def __init__(self, make: Callable[[list], list], most: int):
-        self.make, self.most, self.young, self.old = make, most, {}, {}
+        self.make, self.most, self.young, self.old, self.held = make, most, {}, {}, 0
 
     def of(self, keys: list) -> list:
         """The value of each of some distinct keys, in order."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+        if self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
         new = set(keys) - self.young.keys()
         again = new & self.old.keys()
-        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        known = list(map(self.old.__getitem__, again))
         made = list(new - again)
-        self.young.update(zip(made, self.make(made), strict=True))
+        values = self.make(made)
+        self.young.update(zip(again, known))
+        self.young.update(zip(made, values, strict=True))
+        self.held += sum(sum(map(len, x)) for x in (again, known, made, values)) + ENTRY_BYTES * len(new)
         return list(map(self.young.__getitem__, keys))
 
 

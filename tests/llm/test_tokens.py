@@ -7,8 +7,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from leafmark.llm import bpe, token_files
+from leafmark.llm.pieces import Recent
 
 ODD = [None, "", " ", "  two  gaps ", "a", "it's we'll", "tab\there", "line\nline\n\nend ", "no-break space", "emoji \U0001f600 x", "<|endoftext|> plain", "é ü ñ 12345", "x" * 3000, "ab" * 400 + " tail", "　wide", "word " * 3000, " lead", "trail \n", "\x1c\x85 odd"]
 
@@ -42,12 +44,29 @@ def test_bpe_round_trip_digests(spark, library):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.n_tokens == len(library.encode_ordinary(text))
 
 
-def test_long_words_merge_alike(library):
+def test_words_of_any_length_are_contracted(library):
     own = bpe.vocabulary(*bpe.public_vocabulary())
     rng = random.Random(9)
-    for n in (2, 60, 150):
-        word = "".join(rng.choice("aeinrst") for _ in range(n)).encode()
-        assert own.merge_long(word) == np.frombuffer(own._contract([word])[0], dtype="<u4").tolist()
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (1, 2, 60, 150, 700) for letters in ("aeinrst", "ab", "x", "abcdefghijklmnopqrstuvwxyz", "\u0939\u093f\u0928", "=-")]
+    words += ["a" * 20001, "-" * 9000, "the" * 3000, "\u6f22\u5b57" * 2000, "xabc" * 500]
+    held = [w.encode() for w in words]
+    want = [np.array(library._encode_single_piece(w) if len(w) > 1 else [own.ranks[w]], dtype="<u4").tobytes() for w in held]
+    assert own.contract(held) == want
+    assert own.contract(held[:20], short=4) == want[:20] == own.contract(held[:20], short=1 << 30)
+    assert own.contract(held, query_rows=5000) == want
+    assert own.contract([]) == [] and own.contract([b""]) == [b""]
+    ids = [x for x in want if x]
+    assert own.decode(ids, query_tokens=77) == [w for w in held if w]
+
+
+def test_memory_is_bounded_by_bytes():
+    asked = []
+    memory = Recent(lambda keys: asked.extend(keys) or [k.encode() for k in keys], most=2000)
+    for at in range(0, 200, 5):
+        keys = [f"{i}" for i in range(at, at + 10)]
+        assert memory.of(keys) == [k.encode() for k in keys]
+        assert len(memory.young) + len(memory.old) < 60
+    assert len(asked) < 400
 
 
 def test_unknown_id_stops(spark):
@@ -62,18 +81,33 @@ def test_token_files_read_back(spark, file_docs):
 
     path = token_files.default_path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "no id"), (None, "another"), (7, "again"), (7, "again")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int")
     got = token_files.read_tokens(token_files.write_tokens(docs, path, file_docs=file_docs)).collect()
     at, want = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1] or "", 42)))):
         ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(((r.id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_token_files_split_a_repeated_id_and_check_the_width(spark):
+    path = token_files.default_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(7, f"text {i % 9}") for i in range(400)], "doc_id long, text string")
+    manifest = token_files.write_tokens(docs, path, file_docs=50)
+    assert manifest.count() >= 6 and token_files.read_tokens(manifest).count() == 400
+    wide = token_files.read_tokens(token_files.write_tokens(docs, path, width=4)).collect()
+    assert {(r.n_tokens, r.ids_crc32) for r in wide} == {(r.n_tokens, r.ids_crc32) for r in token_files.read_tokens(manifest).collect()}
+    assert token_files.least_width(path, 70000) == 4
+    with pytest.raises(ValueError, match="4 bytes"):
+        token_files.write_tokens(docs, path, end_id=70000, width=2)
+
+
 def test_token_files_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read_tokens(token_files.write_tokens(docs, token_files.default_path("byte_bpe_50k.json"))).count() == 0
