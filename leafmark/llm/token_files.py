@@ -1,18 +1,19 @@
 """Token files: flat unsigned integers plus 64-bit document offsets, memory-mapped by readers.
 
-Documents are dealt to files by ranges of their id and sorted inside, so that file order and id order agree. A file
-consists of three parts of one name:
-  .bin  all token ids, little-endian, 16 bits each where the vocabulary allows, else 32
+Documents are dealt to files by ranges of their id, then of their text's hash, and sorted inside, so that file order and
+id order agree and a repeated id is split. A file consists of three parts of one name:
+  .bin  all token ids, little-endian, 16 bits each where the vocabulary and the end id allow, else 32
   .idx  64-bit little-endian offsets in tokens from the beginning of the whole corpus, one per document and the end
-  .ids  64-bit document ids; null ids come first and only in the first file, their number is in the manifest
+  .ids  64-bit document ids; null ids come first, their number in each file is in the manifest
 The first pass writes .bin, .ids and the lengths; the bases of files are prefix sums of the files' totals, one row per
 file; the second writes .idx. A file is written under a temporary name and then renamed, so a repeated task is harmless.
 
 Executors write to the shared folder as a mounted path (file:), or through pyarrow's file systems, where readers fetch
 ranges instead of mapping.
 
-Defined results: null text counts as empty and holds the end id alone; rows that repeat an id follow each other in text
-order; an empty table makes no files and no rows; further columns are ignored.
+Defined results: null text counts as empty and holds the end id alone; rows that repeat an id follow each other in the
+order of their texts' XXH64; an empty table makes no files and no rows; further columns are ignored; strings of special
+tokens inside texts become their ids, as in the library's plain call; a width that can't hold the vocabulary is refused.
 """
 
 from __future__ import annotations
@@ -36,12 +37,14 @@ from leafmark.llm.pieces import Memory, slices
 from leafmark.llm.shared import new_path, staged
 
 END_ID = 2
-#: Documents that one file should hold.
+#: Documents that one file should hold, and bytes of text.
 FILE_DOCS = 8192
+FILE_BYTES = 64 << 20
+MOST_TASKS = 10000
 #: Ids that a reader takes from a file at once.
 READ_TOKENS = 1 << 20
-#: Distinct pieces that a worker remembers as recent, and pieces that it encodes in one string.
-REMEMBERED = 1 << 19
+#: Bytes of distinct pieces with their ids that a worker remembers as recent, and pieces that it encodes in one string.
+REMEMBERED = 64 << 20
 JOINED = 4096
 
 MANIFEST = "file int, path string, docs long, nulls long, tokens long, width int"
@@ -80,12 +83,11 @@ def mapped(path: str, dtype: str, start: int = 0, count: int | None = None) -> n
 
 @lru_cache(maxsize=2)
 def encoder(tokenizer_path: str) -> Memory:
-    """Encodes texts by a tokenizers file, special tokens' strings as ordinary text; one for all tasks of a worker."""
+    """Encodes texts by a tokenizers file; one for all tasks of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_path)
-    own.encode_special_tokens = True
     spaced = np.zeros(own.get_vocab_size(), dtype=bool)
     spaced[[i for token, i in own.get_vocab().items() if token.startswith("\u0120")]] = True  # byte-level vocabularies write a space so
 
@@ -109,13 +111,27 @@ def encoder(tokenizer_path: str) -> Memory:
     return Memory(encode, REMEMBERED)
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = 2, file_docs: int = FILE_DOCS) -> DataFrame:
+def least_width(tokenizer_path: str, end_id: int) -> int:
+    """Bytes that every id of the vocabulary and the end id fit in: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end_id, *Tokenizer.from_file(tokenizer_path).get_vocab().values()) < 1 << 16 else 4
+
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int | None = None, file_docs: int = FILE_DOCS) -> DataFrame:
     """Encode and write all of docs; the manifest: one row per file with its base, the number of tokens before it."""
+    least = least_width(tokenizer_path, end_id)
+    width = least if width is None else width
+    if width < least:
+        raise ValueError(f"ids of this vocabulary need {least} bytes")
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    files = max(1, -(-rows.count() // file_docs))
-    dealt = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text").withColumn("file", F.spark_partition_id())
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    files = max(1, -(-n // file_docs), -(-(size or 0) // FILE_BYTES))
+    # rows that agree in id and text are split by where they stand in the input
+    placed = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = placed.repartitionByRange(files, "id", "hash", "row").sortWithinPartitions("id", "hash", "row").select("id", "text", F.spark_partition_id().alias("file"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
@@ -156,7 +172,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 write_file(f"{row.path}.idx", iter([offsets.astype("<i8").tobytes()]))
             yield pdf
 
-    spread = based.repartition(min(files, 1024), "file")
+    spread = based.repartition(min(files, MOST_TASKS), "file")
     return staged(spread.mapInPandas(index, MANIFEST + ", base long"), "token-manifest")
 
 
@@ -177,7 +193,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"id": number, "start": np.asarray(offsets[at:to]), "n_tokens": np.diff(offsets[at : to + 1]), "ids_crc32": [zlib.crc32(block[a:z]) for a, z in zip(cut, cut[1:])]})
                     at = to
 
-    return manifest.repartition(max(1, min(manifest.count(), 1024)), "file").mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(max(1, min(manifest.count(), MOST_TASKS)), "file").mapInPandas(read, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_path(name: str) -> str:
