@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 SAMPLE = 10000
 FOLDS, HELD_OUT = 5, 0
@@ -143,22 +143,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with one more column: the model's score of the whole text, 0 to 1."""
-    names, at = [*docs.columns, name], docs.columns.index(text_col)
+    """docs with the model's score of the whole text, 0 to 1, as column `name`; one of that name is replaced."""
+    if model is None:
+        return docs.withColumn(name, F.lit(1.0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if model is None or not b.num_rows:
-                scores = np.ones(b.num_rows)
-            else:
-                scores = model.scores(np.array([features(t.as_py() or "") for t in b.column(at)]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=names)
+    @F.arrow_udf(DoubleType())
+    def scores(texts: pa.Array) -> pa.Array:
+        x = [model.scores(features(t.as_py() or "")) for t in texts]
+        return pa.array(x, pa.float64())
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    # only the text goes to Python
+    return docs.withColumn(name, scores(F.col(text_col)))
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs whose score reaches the threshold; the columns stay as they are."""
-    name = "_quality_score"
-    scored = score(docs, train(docs, labels, id_col, text_col), text_col, name)
-    return scored.filter(F.col(name) >= threshold).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    scored = score(rows, train(docs, labels, id_col, text_col))
+    return scored.filter(F.col("score") >= threshold).select("row.*")
