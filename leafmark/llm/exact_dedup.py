@@ -2,8 +2,9 @@
 
 A snapshot holds one row per distinct digest, dealt into buckets by the digest, and one static binary-fuse filter per
 bucket. An incoming batch is grouped by digest on its own; each group's digest is screened by the filter of its bucket, and
-only positives join the snapshot's exact bucket, where the normalised texts themselves are compared. Nothing but digests
-is shuffled, save the texts of the positives' representatives.
+only positives join the snapshot's exact bucket, where the normalised texts themselves are compared. For that the texts of
+the positives' representatives are shuffled; where their ids are too many to be broadcast (`shared.BROADCAST_ROWS`), all
+texts are, once. Everything else that is shuffled is ids and digests.
 
 Defined results: null text counts as empty, so all empty and null texts are copies of one another; null ids sort last and
 stay only if no copy has an id; rows that repeat an id and its text are copies, of which one stays; an empty table gives no
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm import fuse_filter
-from leafmark.llm.shared import SPACES, staged
+from leafmark.llm.shared import SPACES, join_side, staged
 
 #: Distinct digests that one filter should hold, and that one task screens at once.
 FILTER_KEYS = 1 << 14
@@ -90,9 +91,10 @@ def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
 
 def byte_checked(hits: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """hits(digest, new_id, old_id, ...) after comparing the normalised texts of both representatives; unequal texts stop the job."""
-    ids = hits.select(F.explode(F.array("new_id", "old_id")).alias("id"), "digest").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    found = texts.join(ids.hint("merge"), texts["id"].eqNullSafe(ids["id"]) & (texts["digest"] == ids["digest"])).select(texts["digest"], "body")
+    ids = join_side(hits.select(F.explode(F.array("new_id", "old_id")).alias("_id"), F.col("digest").alias("_digest")).distinct(), "representatives")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = texts.join(ids, texts["id"].eqNullSafe(ids["_id"])).select("_digest", normalised(F.col("text")).alias("body"))
+    found = found.withColumn("digest", F.unhex(F.sha2("body", 256))).filter("digest = _digest").select("digest", "body")
     same = found.groupBy("digest").agg((F.min("body") == F.max("body")).alias("same"))
     fault = F.raise_error(F.concat(F.lit("two texts share the digest "), F.hex("digest")))
     return hits.join(same, "digest").withColumn("digest", F.when(F.col("same"), F.col("digest")).otherwise(fault.cast("binary"))).drop("same")
@@ -135,12 +137,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without later copies; the columns stay as they are."""
     rows = staged(decisions(docs, id_col, text_col), "decisions")
     state = rows.groupBy("id", "digest").agg(F.max("kept").alias("keep"), F.count(F.lit(1)).alias("times"))
-    gone = staged(state.filter("not keep or times > 1").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "keep"), "gone")
-    marked = docs.withColumn("_own", digest_of(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    single = marked.join(gone.hint("merge"), same, "left_anti")
+    gone = join_side(state.filter("not keep or times > 1").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "keep"), "gone")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), digest_of(F.col(text_col)).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    single = marked.join(gone, same, "left_anti")
     again = gone.filter("keep")
     if again.isEmpty():
-        return single.drop("_own")
-    repeated = marked.join(again, same, "left_semi").dropDuplicates([id_col, "_own"])
-    return single.unionByName(repeated).drop("_own")
+        return single.select("row.*")
+    repeated = marked.join(again, same, "left_semi").dropDuplicates(["id", "digest"])
+    return single.unionByName(repeated).select("row.*")

@@ -36,3 +36,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a narrow table, ids and digests, that a join may broadcast: some tens of MB.
+BROADCAST_ROWS = 1 << 18
+
+
+def join_side(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df written, with the hint of its counted size: broadcast up to `most` rows, else a merge join, which AQE splits."""
+    kept = staged(df, name)
+    return kept.hint("broadcast" if kept.count() <= most else "merge")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm.components import components
-from leafmark.llm.shared import staged
+from leafmark.llm.shared import join_side, staged
 
 WORDS = 4
 BITS = 4
@@ -177,4 +177,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Ids must tell the rows apart, as they do behind exact dedup; rows that repeat an id stay or go together.
     """
     gone = groups(docs, id_col, text_col, **how).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(staged(gone, "near-copies").hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(join_side(gone, "near-copies"), F.col("id").eqNullSafe(F.col("_id")), "left_anti").select("row.*")
