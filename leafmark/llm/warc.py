@@ -5,7 +5,7 @@ takes a candidate for a member only if its first bytes decode to a WARC header,
 the records that start inside its range, and reads the last one beyond the range's end.
 
 Defined results: null payloads are empty; null URLs have no target header and are read back as null; a null page id is
-written as `null` and read back as null; of equal payloads of at least `least` bytes the smallest non-null page id is the
+written as `null` and read back as null; line ends in URLs are written as %0D and %0A; of equal payloads of at least `least` bytes the smallest non-null page id is the
 response, rows that repeat it are responses too; an empty table makes no records; further columns are ignored.
 """
 
@@ -28,6 +28,7 @@ LEAST_BYTES = 100
 #: Bytes of a file that one task reads, and bytes fetched at once.
 SPLIT_BYTES = 16 << 20
 READ_BYTES = 1 << 20
+MOST_TASKS = 10000
 DATE = "2026-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -193,7 +194,8 @@ def read_archives(files: DataFrame, payload: bool = True, split_bytes: int = SPL
                     if rows:
                         yield _batch(rows, names)
 
-    spread = ranges.repartition("path", "start")
+    # a number of tasks of its own, or adaptive execution would join the few bytes of all ranges in one
+    spread = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))
     return spread.mapInArrow(read, COLUMNS + ", payload binary" * payload)
 
 
