@@ -81,12 +81,13 @@ class Shard:
         yield np.take_along_axis(places, order, axis=1).astype("<f4").tobytes()
         yield order.tobytes()
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, near: float = NEAR, verified: float | None = VERIFIED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Each query's k nearest verified vectors: query id, vector ids, scores."""
         own = unit(queries)
         places = own.astype(np.float32) @ directions(queries.shape[1])
         bounds = [[(np.searchsorted(self.values[j], places[:, j] - r), np.searchsorted(self.values[j], places[:, j] + r, side="right")) for j in range(PROJECTIONS)] for r in RADII]
         bounds = np.array(bounds)  # radius, projection, low or high, query
+        enough = self.n if verified is None else max(verified * self.n, VERIFIED_LEAST) + k
         least = (COLLIDING - DEVIATIONS * np.sqrt(COLLIDING * (1 - COLLIDING) / PROJECTIONS)) * PROJECTIONS
         for q in range(len(ids)):
             counts = np.zeros(self.n, dtype=np.int64)
@@ -105,7 +106,7 @@ class Shard:
                     found.append(fresh)
                     scores.append((self.units[fresh] * own[q]).sum(axis=1))
                     seen += len(fresh)
-                    if seen >= k and (seen >= max(VERIFIED * self.n, VERIFIED_LEAST) + k or np.partition(np.concatenate(scores), -k)[-k] >= 1 - (NEAR * radius) ** 2 / 2):
+                    if seen >= k and (seen >= enough or near and np.partition(np.concatenate(scores), -k)[-k] >= 1 - (near * radius) ** 2 / 2):
                         break
             if not found:
                 continue
@@ -114,13 +115,14 @@ class Shard:
             yield int(ids[q]), self.ids[at[best]], score[best]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK, near: float = NEAR, verified: float | None = VERIFIED) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row among all other rows."""
     spark = vectors.sparkSession
     folder = new_path(spark, "ann")
     doubles = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), doubles.alias("vector"), is_query.alias("asks")).filter(F.col("id").isNotNull() & valid(F.col("vector")))
-    rows = rows.withColumn("dim", F.size("vector"))
+    # the place in the input deals out rows that repeat an id
+    rows = rows.withColumns({"dim": F.size("vector"), "hash": F.xxhash64("id", F.monotonically_increasing_id())})
     sizes = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).collect()}
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -132,9 +134,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         write_file(f"{folder}/{dim}-{number}", Shard.parts(pdf["id"].to_numpy(), np.stack(pdf["vector"].to_numpy())))
         return pd.DataFrame({"dim": [dim], "shard": [number], "n": [len(pdf)]})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), per_dim(0, shard)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod("hash", per_dim(0, shard)).cast("int"))
     index = staged(dealt.select("dim", "shard", "id", "vector").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, n int"), "ann-shards")
-    asking = rows.filter("asks").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), per_dim(1, block)).cast("int"))
+    asking = rows.filter("asks").withColumn("block", F.pmod(F.xxhash64("hash"), per_dim(1, block)).cast("int"))
     blocks = asking.groupBy("dim", "block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("vector")).alias("vectors"))
     # every block against every shard of its length: the contract's query set in blocks
     tasks = sum(-(-n // shard) * -(-q // block) for n, q in sizes.values())
@@ -147,7 +149,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 dim, number, n, ids, flat = (b.column(c)[i] for c in ("dim", "shard", "n", "ids", "vectors"))
                 own = Shard(f"{folder}/{dim}-{number}", n.as_py(), dim.as_py())
                 asked = np.array(ids.values), np.array(flat.values).reshape(-1, dim.as_py())
-                out = [(np.full(len(v), q), v, s) for q, v, s in own.search(*asked, k)]
+                out = [(np.full(len(v), q), v, s) for q, v, s in own.search(*asked, k, near, verified)]
                 if out:
                     yield pa.record_batch([np.concatenate(x) for x in zip(*out)], names=["query_id", "vec_id", "score"])
 
