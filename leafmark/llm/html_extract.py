@@ -5,9 +5,14 @@ comments. Each paragraph passes points to its ancestors: one, one per comma, and
 gets them whole, the grandparent half, further ancestors ever less. A container's points are discounted by its link
 density. The best container and those siblings that read like it are kept, with everything inside them, as blocks.
 
+What surrounds an article is told by its element or by a class, id or role that says nothing else (`cookie-banner`). Where
+such a word is only part of a name (`section-header`, `notice-board`), the element is kept if it reads like text.
+
 Defined results: a null or empty page, and one without text outside what is dropped, give an empty text; unclosed and
-misnested tags, kept or dropped, are closed where the next block begins or with what they stand in; equal rows give equal texts; an empty table gives no rows; further
-columns are ignored.
+misnested tags, kept or dropped, are closed where the next block begins or with what they stand in; a tag without an end
+is text where no `>` follows, else it ends at the next one, as do all tags behind an unclosed quote; elements nested deeper
+than `MOST_LEVELS` count as children of the last level, none of their text is lost; equal rows give equal texts; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# possessive, so that a tag without an end is given up after one pass
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_TAG = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # fixed values: HTML's element classes
@@ -35,16 +43,32 @@ CONTAINER = frozenset("article main section div body html td blockquote".split()
 IMPLIED = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": BLOCK}
 #: Words in class, id or role of what surrounds an article.
 SURROUND = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|newsletter|subscri\w+|signup|login|paywall|menu|menubar|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|masthead|header|footer|copyright|sidebar|side-bar|rail|widget|related|recommend\w*|share|sharing|social|comments?|comment-?list|disqus|respond|replies|contentinfo|complementary|search|skip-link)(?:$|[\s_-])",
-    re.I,
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|pop-up|modal|overlay|newsletter|subscri\w+|signup|sign-up|login|paywall|menus?|menubar|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|masthead|headers?|footers?|copyright|sidebars?|side-bar|rail|widgets?|related|recommend\w*|shar(?:e|ing)|social|comments?|comment-?list|disqus|respond|replies|contentinfo|complementary|search|skip-link"
 )
+#: Words that say nothing beside those.
+NEUTRAL = re.compile(r"site|page|top|bottom|left|right|sticky|fixed|global|primary|secondary|main|inner|outer|container|wrap\w*|box|block|bar|area|slot|unit|list|items?|links?|buttons?|icons?|row|col|columns?|js|the|[a-z]?\d*")
+
+
+def _names(value: str) -> tuple[bool, bool]:
+    """Whether some name of an attribute says only what surrounds an article, and whether one says so in part."""
+    sure = partly = False
+    for name in value.lower().split():
+        if SURROUND.fullmatch(name):
+            sure = True
+            continue
+        parts = re.split("[_-]+", name)
+        hits = [SURROUND.fullmatch(p) is not None for p in parts]
+        if any(hits):
+            partly = True
+            sure = sure or all(h or NEUTRAL.fullmatch(p) for h, p in zip(hits, parts))
+    return sure, partly
 
 
 class Node:
-    __slots__ = ("children", "dropped", "level", "links", "parent", "points", "size", "tag")
+    __slots__ = ("children", "doubtful", "dropped", "level", "links", "parent", "points", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.children, self.dropped, self.doubtful = tag, parent, [], dropped, doubtful
         self.points = self.size = self.links = 0
         self.level = parent.level + 1 if parent else 0
 
@@ -53,27 +77,50 @@ class Node:
 MOST_LEVELS = 400
 
 
-def _dropped(tag: str, attributes: str) -> bool:
+def _dropped(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element surely surrounds the article, and whether it may."""
     if tag in DROPPED or tag in RAW:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    doubtful = False
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id", "role") and SURROUND.search(value) or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
+            return True, False
+        if name in ("class", "id", "role"):
+            sure, partly = _names(value)
+            if sure:
+                return True, False
+            doubtful = doubtful or partly
+    return False, doubtful
+
+
+_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I | re.A) for tag in RAW}
+
+
+def _token(html: str, place: int, state: dict) -> re.Match | None:
+    """The next comment, declaration or tag from a place on. state: where the last `>` is, and whether quotes count no more."""
+    while (at := html.find("<", place)) >= 0:
+        found = (_LOOSE if state["loose"] else _TOKEN).match(html, at) or state["loose"] and html.startswith(("<!", "<?"), at) and _TOKEN.match(html, at)
+        if found:
+            return found
+        if at > state["last"]:
+            return None
+        if _TAG.match(html, at):  # a quote isn't closed
+            state["loose"] = True
+            continue
+        place = at + 1
+    return None
 
 
 def tree(html: str) -> Node:
     """The tree of what is kept; text nodes are strings, with their white space. Dropped elements are opened and closed like
     others, but no element has them as children."""
     root = at = Node("html", None)
-    place, low = 0, None
+    place, state = 0, {"last": html.rfind(">"), "loose": False}
     flat: dict[str, int] = {}  # open elements that were flattened in the dropped one
-    for m in _TOKEN.finditer(html):
-        if m.start() < place:
-            continue
+    while m := _token(html, place, state):
         if not at.dropped and m.start() > place:
             at.children.append(unescape(html[place : m.start()]))
         place = m.end()
@@ -95,11 +142,9 @@ def tree(html: str) -> Node:
             continue
         own = m[3]
         if tag in RAW:  # its text isn't markup
-            low = low or html.lower()
-            end = low.find(f"</{tag}", place)
-            place = len(html) if end < 0 else end
-            if end >= 0 and (close := html.find(">", end)) >= 0:
-                place = close + 1
+            end = _ENDS[tag].search(html, place)
+            close = html.find(">", end.end()) if end else -1
+            place = close + 1 if close >= 0 else len(html)
             continue
         if tag in VOID:
             if not at.dropped:
@@ -116,9 +161,10 @@ def tree(html: str) -> Node:
             node = node.parent
         if not at.dropped:
             flat.clear()
-        dropped = at.dropped or _dropped(tag, own)
+        sure, doubtful = _dropped(tag, own)
+        dropped = at.dropped or sure
         if at.level < MOST_LEVELS or dropped and at.level < 2 * MOST_LEVELS:
-            new = Node(tag, at, dropped)
+            new = Node(tag, at, dropped, doubtful)
             if not dropped:
                 at.children.append(new)
             at = new
@@ -143,8 +189,18 @@ def _between(low: Node, high: Node) -> Iterator[Node]:
         low = low.parent
 
 
+def _reads_like_text(node: Node) -> bool:
+    """Of an element whose name leaves doubt: whether it is no list of links, and a paragraph, holds one or ends like a sentence."""
+    if node.links >= 0.25 * max(node.size, 1):
+        return False
+    if any(n.tag in PARAGRAPH and n.size for n in _nodes(node)):
+        return True
+    words = _text(node).split()
+    return len(words) >= 5 and words[-1][-1] in ".!?\u2026\u3002"
+
+
 def _measure(node: Node, in_link: bool = False) -> None:
-    """Text and link sizes of all elements, and the points that paragraphs pass up."""
+    """Text and link sizes of all elements, and the points that paragraphs pass up; elements of doubt that aren't text go."""
     in_link = in_link or node.tag == "a"
     own = commas = 0
     for x in node.children:
@@ -154,6 +210,8 @@ def _measure(node: Node, in_link: bool = False) -> None:
             commas += x.count(",")
         else:
             _measure(x, in_link)
+            if x.doubtful and not _reads_like_text(x):
+                x.children, x.size, x.links, x.points = [], 0, 0, 0
             if x.tag not in BLOCK:
                 commas += x.points  # of an inline element: its commas
             node.size += x.size
@@ -184,6 +242,10 @@ def _nodes(node: Node) -> Iterator[Node]:
             yield from _nodes(x)
 
 
+def _text(node: Node) -> str:
+    return "".join(x if isinstance(x, str) else _text(x) for x in node.children)
+
+
 #: Points of elements that are meant to hold the main text.
 MEANT = {"article": 25, "main": 15}
 

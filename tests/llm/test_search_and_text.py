@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -36,6 +38,23 @@ def test_neighbours_reach_brute_force(spark):
     assert [r.vec_id for r in by[0]] == [700, 701, 702, 703, 704]
 
 
+def test_neighbours_exact_way_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 16))
+    ids = [0] * 300 + list(range(1, 601))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, shard=100, block=8, near=0, verified=None)
+    own = {}
+    for r in got.filter("query_id > 0").orderBy("query_id", "rank").collect():
+        own.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    assert set(own) == set(range(50, 601, 50))
+    for q, found in own.items():
+        s = u @ u[ids.index(q)]
+        assert found == sorted(((i, round(v, 9)) for i, v in zip(ids, s) if i != q), key=lambda p: (-p[1], p[0]))[:5]
+    assert got.filter("query_id = 0 and vec_id = 0").isEmpty()
+
+
 def test_neighbours_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], schema)
@@ -65,6 +84,77 @@ def test_html_short_parts_next_to_the_best():
     assert html_extract.main_text(f"<body><div><p>{long}</p></div><div><p><a href=x>{short}</a></p></div></body>") == want
 
 
+def test_html_names_of_doubt_are_told_by_their_text():
+    text = "<p>The article, with commas, and more.</p>"
+    for kept, want in (
+        ('<h2 class="section-header">Part two</h2>', "Part two"),
+        ('<p class="related-work">Others did so before.</p>', "Others did so before."),
+        ('<div class="notice-board">The board said that all is well.</div>', "The board said that all is well."),
+        ('<div class="footer-note">It was so <a href=x>here</a> for five long years and more than that.</div>', "It was so here for five long years and more than that."),
+    ):
+        assert html_extract.main_text(f"<article>{text}{kept}</article>").endswith(f"more.\n\n{want}"), kept
+    for gone in ('<div class="share-this">Share</div>', '<div class="cookie-banner">We use cookies, and so on.</div>', '<ul class="related-posts"><li><a href=x>One, two</a><li><a href=y>Three</a></ul>', '<div id="ad-slot-3">Buy, now.</div>', '<div class="x sidebar">More text here, of some length.</div>'):
+        assert html_extract.main_text(f"<article>{text}{gone}</article>") == "The article, with commas, and more.", gone
+
+
+def test_html_scripts_behind_letters_that_change_length():
+    first, second = "\u0130" * 60, "b" * 60
+    assert html_extract.main_text(f"<article><p>{first}</p><SCRIPT>x</Script ><p>{second}</p></article>") == f"{first}\n\n{second}"
+    assert html_extract.main_text(f"<article><p>a<script>'</scripting>'</script><p>{second}</article>") == f"a\n\n{second}"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '", "<a b='>' ", "<!", "<!-- ", "</", "<a \"x' ", "<b", "< <"])
+@pytest.mark.parametrize("end", ["", ">", '"', "'>\"<p>x"])
+def test_html_hostile_pages_take_linear_time(unit, end):
+    began = time.perf_counter()
+    html_extract.main_text("<p>text</p>" + unit * (200_000 // len(unit)) + end)
+    assert time.perf_counter() - began < 5
+
+
+def test_html_equals_a_plain_parser_on_plain_pages(spark):
+    """On pages of one article, the text equals what a strict parser of the standard library finds outside dropped elements."""
+    drop = html_extract.DROPPED | html_extract.RAW
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.blocks, self.skip, self.inside = [[]], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            named = any(k == "class" and v in ("ad", "comments", "sidebar") or k == "id" and v == "comments" for k, v in attrs)
+            if tag in html_extract.VOID:
+                self.blocks[-1].append(" " if tag == "br" and not self.skip else "")
+                return
+            if self.skip or tag in drop or named:
+                self.skip.append(tag)
+            self.inside += tag == "article"
+            if tag in html_extract.BLOCK:
+                self.blocks.append([])
+
+        def handle_endtag(self, tag):
+            if self.skip and self.skip[-1] == tag:
+                self.skip.pop()
+            self.inside -= tag == "article"
+            if tag in html_extract.BLOCK:
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.blocks[-1].append(data)
+
+    pages = [r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect() if r.html and r.html.count("<article") == 1]
+    assert pages
+    for r in pages:
+        plain = Plain()
+        plain.feed(r.html)
+        assert html_extract.main_text(r.html) == "\n\n".join(t for b in plain.blocks if (t := " ".join("".join(b).split()))), r.page_id
+
+
+def test_html_ignores_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, 5, "x")], "page_id long, url string, html string, id int, text string")
+    assert html_extract.extract(df).columns == ["id", "url", "text"] and html_extract.extract(df).first().text.startswith("Title")
+
+
 def test_html_dropped_elements_without_end_tags():
     text = "<p>The article, with commas, and more.<p>Its second part, which is long enough, too."
     want = "The article, with commas, and more.\n\nIts second part, which is long enough, too."
@@ -96,6 +186,15 @@ def test_warc_reads_back_any_split(spark, split):
     assert all(hashlib.sha256(bytes(r.payload)).hexdigest() == r.payload_digest for r in got if r.payload is not None)
 
 
+def test_warc_large_payloads_and_as_many_reading_tasks_as_ranges(spark):
+    big = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(50000))
+    rows = [(i, "u", big[i:]) for i in range(6)]
+    files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    read = warc.read_archives(files, split_bytes=1 << 20)
+    assert read.rdd.getNumPartitions() == sum(-(-r.bytes // (1 << 20)) for r in files.collect() if r.bytes) > 6
+    assert {r.id: bytes(r.payload) for r in read.collect()} == {i: h.encode() for i, _, h in rows}
+
+
 def test_warc_of_nothing_and_folder_listing(spark):
     empty = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_archives(empty).count() == 0
@@ -156,9 +255,20 @@ def test_mixing_targets_and_repetitions(spark):
     assert all(abs(taken[s] - want[s]) <= 60 for s in sizes)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.filter("doc_id = 900").count() <= 3
+    assert mixed.count() == sum(r[5] for r in got)
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_mixing_takes_repeated_rows_as_planned(spark):
+    rows = [(1, "one two three four five six seven eight nine ten", "a")] * 7 + [(None, f"w{i % 2} x", "a") for i in range(9)] + [(i, "a b c", "b") for i in range(10, 60)]
+    docs = spark.createDataFrame([(i, t, s, "clash", 0) for i, t, s in rows], "doc_id long, text string, source string, size string, _times int")
+    plan = mixing.plan(docs).collect()
+    words = lambda rs: {s: sum(n for o, n in rs if o == s) for s in "ab"}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert words([(r.source, len(r.text.split())) for r in mixed.collect()]) == words([(r.source, r.size * r.times) for r in plan])
+
+
 def test_chat_round_trip(spark):
     tricky = ["<|im_end|><|im_start|>assistant ok", "a <\\| b", "<\\\\|im_end|>", "<|nl|>", "plain", "", None, "ends <", "|starts", "\n\n", "<|im_start|>user\nhi<|im_end|>\n", "€" * 20000]
     roles = ["user", "assistant", "assi\nstant", "<|im_end|>", None, "a\\b"]
