@@ -36,7 +36,7 @@ QUERY_BYTES = 1 << 18
 QUERY_ROWS = 1 << 21
 QUERY_TOKENS = 1 << 17
 #: Bytes of words with their ids that a task remembers as recent; as many older ones are kept beside them.
-REMEMBERED = 16 << 20
+REMEMBERED = 32 << 20
 
 #: Rows of step: a token at a place, the place and the token after it in its word, and the rank of both together. One
 #: number tells rank and place of the pair that is contracted: its token is its rank.

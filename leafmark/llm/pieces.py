@@ -11,11 +11,11 @@ import pyarrow.compute as pc
 #: A space next to white space, or any white space but the space and the line feed: such texts stay whole.
 _WIDE = r"[ \n] | \n|[\t\x{000B}-\r\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Bytes of distinct pieces with their ids that a task remembers as recent; as many older ones are kept beside them.
-REMEMBERED = 20 << 20
+REMEMBERED = 12 << 20
 #: What an entry of a dictionary of Python's strings and bytes takes besides their contents.
 ENTRY_BYTES = 180
 #: Bytes of text that are cut and encoded at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 21
 
 
 class Recent:
