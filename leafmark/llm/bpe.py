@@ -112,7 +112,7 @@ class Vocabulary:
         self.adjoin = np.zeros(1 << 16, dtype=bool)  # two bytes that some token holds next to each other
         for t in ranks:
             self.adjoin[[a << 8 | b for a, b in zip(t, t[1:])]] = True
-        self.words = Recent(self.encode_words, REMEMBERED)
+        self.words = Recent(REMEMBERED)
         self.memory = Memory(self._encode_pieces)
 
     def _load(self, name: str, columns: dict) -> None:
@@ -126,17 +126,24 @@ class Vocabulary:
         self.con.unregister(name)
         return found
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _cut(self, pieces: list[str]) -> tuple[list[str], list[int]]:
+        """The words of all pieces, and their number up to each piece (one more than pieces)."""
+        cut = [self.pattern.findall(p) for p in pieces]
+        return [w for each in cut for w in each], np.cumsum([0, *map(len, cut)]).tolist()
+
+    def _encode_pieces(self, spaced: list[str], others: list[str]) -> list[bytes]:
         """Pieces that begin with their only space are cut in one string: the words with a space begin the pieces."""
-        words = self.pattern.findall("".join(pieces))
-        cuts = [i for i, w in enumerate(words) if w[0] == " "]
-        if len(cuts) == len(pieces) and all(p.rfind(" ") == 0 for p in pieces):
-            cuts.append(len(words))
-        else:
-            cut = [self.pattern.findall(p) for p in pieces]
-            words, cuts = [w for each in cut for w in each], np.cumsum([0, *map(len, cut)]).tolist()
-        distinct = pa.array(words, pa.string()).dictionary_encode()
-        ids, ends = spread(self.words.of(distinct.dictionary.to_pylist()), distinct.indices.to_numpy())
+        words = self.pattern.findall("".join(spaced))
+        cuts = [i for i, w in enumerate(words) if w[0] == " "] + [len(words)]
+        if len(cuts) != len(spaced) + 1 or not all(p.rfind(" ") == 0 for p in spaced):
+            words, cuts = self._cut(spaced)
+        more, ends = self._cut(others)
+        cuts += [len(words) + e for e in ends[1:]]
+        distinct = pa.array(words + more, pa.string()).dictionary_encode()
+        known = distinct.dictionary.to_pylist()
+        new = self.words.missing(known)
+        self.words.add(new, self.encode_words(new))
+        ids, ends = spread(self.words.of(known), distinct.indices.to_numpy())
         data, at = ids.tobytes(), (ends[cuts] * 4).tolist()
         return [data[a:z] for a, z in zip(at, at[1:])]
 

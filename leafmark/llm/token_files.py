@@ -108,7 +108,7 @@ def encoder(tokenizer_path: str) -> Memory:
                 out += each(part)
         return out
 
-    return Memory(encode, REMEMBERED)
+    return Memory(lambda spaced, others: encode(spaced) + encode(others), REMEMBERED)
 
 
 def least_width(tokenizer_path: str, end_id: int) -> int:
