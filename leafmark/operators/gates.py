@@ -54,14 +54,17 @@ def text_gates(read: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def anchor_gates(edits: DataFrame, runs: DataFrame, blocks: DataFrame, locked: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """Per edit the gate of phase two: G4 where it touches protected text or nothing but synthetic text, G3 where text isn't covered, else null."""
+    """Per edit the gate of phase two: G4 where it touches protected text or nothing but synthetic text, G3 where text isn't
+    covered, else null. The deletion of a whole paragraph whose span is a block's is anchored to the block, so neither its
+    prefix nor other synthetic text inside counts."""
     wide = edits.filter("md_end > md_start")
+    whole = A.whole_deletions(wide.filter("type = 'del' AND whole_paragraph"), blocks).select("doc_id", "edit_id").distinct().withColumn("_whole", F.lit(True))
     held = A.overlapping_locked(wide, locked).select("doc_id", "edit_id").distinct().withColumn("_held", F.lit(True))
     snapped = A.snap(wide.select("doc_id", "edit_id", "md_start", "md_end"), synthetic)
     inner = snapped.select("doc_id", "edit_id", F.col("snap_start").alias("md_start"), F.col("snap_end").alias("md_end"))
     ranges = A.resolve_ranges(inner.filter("md_end > md_start"), runs, locked).select("doc_id", "edit_id", F.col("error").alias("_range"))
-    spans = inner.join(ranges, ["doc_id", "edit_id"], "left").join(held, ["doc_id", "edit_id"], "left")
-    gate = F.when(F.col("_held"), "G4").when(F.col("md_end") <= F.col("md_start"), "G4").when(F.col("_range") == "locked", "G4").when(F.col("_range").isNotNull(), "G3")
+    spans = inner.join(ranges, ["doc_id", "edit_id"], "left").join(held, ["doc_id", "edit_id"], "left").join(whole, ["doc_id", "edit_id"], "left")
+    gate = F.when(F.col("_held"), "G4").when(F.col("_whole"), F.lit(None)).when(F.col("md_end") <= F.col("md_start"), "G4").when(F.col("_range") == "locked", "G4").when(F.col("_range").isNotNull(), "G3")
     points = edits.filter("md_end <= md_start").select("doc_id", "edit_id", F.col("md_start").alias("pos"), "whole_paragraph")
     inside = A.resolve_points(points.filter("not whole_paragraph"), runs, locked)
     between = A.resolve_boundaries(points.filter("whole_paragraph"), blocks)

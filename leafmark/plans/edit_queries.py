@@ -91,30 +91,30 @@ SELECT k AS line_no, CASE WHEN s IN (3, 4) THEN NULL WHEN s = 6 THEN ' ' WHEN s
 
 
 def _comment_ids(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100).alias("doc_id"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit(" AR_COMMENT_"), F.col("o_orderkey").cast("string"), F.lit(" ")).alias("comment_id"))
+    return table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 64).alias("doc_id"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit(" AR_COMMENT_"), F.col("o_orderkey").cast("string"), F.lit(" ")).alias("comment_id"))
 
 
 def comment_coverage(spark, sf_dir):
     kind = F.when(F.col("l_linenumber") % 3 == 0, " Reply_To_Comment").when(F.col("l_linenumber") % 3 == 1, "replace_text").otherwise("add_comment_only")
-    edits = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("doc_id"), kind.alias("change_type"), F.concat(F.lit("AR_COMMENT_"), F.col("l_orderkey").cast("string")).alias("bookmark_id"))
+    edits = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 64).alias("doc_id"), kind.alias("change_type"), F.concat(F.lit("AR_COMMENT_"), F.col("l_orderkey").cast("string")).alias("bookmark_id"))
     return E.unaddressed(_comment_ids(spark, sf_dir), edits)
 
 
 COVERAGE = """
-SELECT o_orderkey % 100 AS doc_id, o_orderkey AS ordinal, 'AR_COMMENT_' || o_orderkey AS comment_id FROM orders
+SELECT o_orderkey // 64 AS doc_id, o_orderkey AS ordinal, 'AR_COMMENT_' || o_orderkey AS comment_id FROM orders
 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber % 3 != 1)"""
 
 
 def anchor_reconcile(spark, sf_dir):
-    expected = table(spark, sf_dir, "orders").filter("o_orderkey % 9 != 0").select((F.col("o_orderkey") % 100).alias("doc_id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").cast("string").alias("anchor"))
-    actual = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 100).alias("doc_id"), (-F.col("l_orderkey")).alias("ordinal"), F.col("l_orderkey").cast("string").alias("anchor"))
+    expected = table(spark, sf_dir, "orders").filter("o_orderkey % 9 != 0").select(F.floor(F.col("o_orderkey") / 64).alias("doc_id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").cast("string").alias("anchor"))
+    actual = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.floor(F.col("l_orderkey") / 64).alias("doc_id"), (-F.col("l_orderkey")).alias("ordinal"), F.col("l_orderkey").cast("string").alias("anchor"))
     out = E.reconcile(expected, actual)
     return out.select("doc_id", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"), "expected", "actual", "complete")
 
 
 RECONCILE = """
-WITH e AS (SELECT o_orderkey % 100 AS doc_id, o_orderkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 9 != 0 GROUP BY ALL),
-a AS (SELECT l_orderkey % 100 AS doc_id, l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL),
+WITH e AS (SELECT o_orderkey // 64 AS doc_id, o_orderkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 9 != 0 GROUP BY ALL),
+a AS (SELECT l_orderkey // 64 AS doc_id, l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL),
 b AS (SELECT coalesce(e.doc_id, a.doc_id) AS doc_id, coalesce(e.k, a.k) AS k, e.n AS e, a.n AS a FROM e FULL JOIN a ON e.k = a.k)
 SELECT doc_id, coalesce(string_agg(k::VARCHAR, ',' ORDER BY k) FILTER (a IS NULL), '') AS missing, coalesce(string_agg(k::VARCHAR, ',' ORDER BY k DESC) FILTER (e IS NULL), '') AS extra,
   coalesce(sum(e), 0)::BIGINT AS expected, coalesce(sum(a), 0)::BIGINT AS actual, count(*) FILTER (a IS NULL OR e IS NULL) = 0 AND sum(e) = sum(a) AS complete FROM b GROUP BY doc_id"""
@@ -123,7 +123,7 @@ SELECT doc_id, coalesce(string_agg(k::VARCHAR, ',' ORDER BY k) FILTER (a IS NULL
 def _apply(spark, sf_dir):
     """Parts as paragraphs and one edit line each: deletions, replacements of a word or of all, and lines not to apply."""
     k = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").select((k % 20).alias("doc_id"), k.alias("k"), F.col("p_name"), F.format_string("AR_PARA_%05d", k).alias("anchor"), F.concat("p_name", F.lit(" — "), F.col("p_brand"), F.lit(" and "), F.col("p_name")).alias("text"))
+    parts = table(spark, sf_dir, "part").select(F.floor(k / 50).alias("doc_id"), k.alias("k"), F.col("p_name"), F.format_string("AR_PARA_%05d", k).alias("anchor"), F.concat("p_name", F.lit(" — "), F.col("p_brand"), F.lit(" and "), F.col("p_name")).alias("text"))
     word, k = F.substring_index("p_name", " ", 1), F.col("k")
     q = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
     body = (
@@ -143,7 +143,7 @@ def apply_plan(spark, sf_dir):
 
 
 _APPLY = """
-WITH p AS (SELECT p_partkey AS k, p_partkey % 20 AS doc_id, p_name, printf('AR_PARA_%05d', p_partkey) AS anchor, p_name || ' — ' || p_brand || ' and ' || p_name AS text FROM part),
+WITH p AS (SELECT p_partkey AS k, p_partkey // 50 AS doc_id, p_name, printf('AR_PARA_%05d', p_partkey) AS anchor, p_name || ' — ' || p_brand || ' and ' || p_name AS text FROM part),
 w AS (SELECT *, CASE WHEN k % 6 = 4 THEN 'APPLY_FALSE' WHEN k % 10 = 7 THEN 'TARGET_NOT_FOUND' WHEN k % 6 = 3 THEN 'OLD_TEXT_NOT_FOUND' WHEN k % 6 = 1 AND p_name LIKE 'new %' THEN 'NO_CHANGE' ELSE '' END AS why FROM p),
 plan AS (SELECT doc_id, k AS line_no, CASE WHEN k % 6 IN (4, 5) THEN 2 ELSE 1 END AS pass_no, CASE WHEN why = '' THEN 'Applied' ELSE 'Skipped' END AS status, why, anchor,
   CASE WHEN why = '' THEN CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN 'new' || substr(text, length(string_split(p_name, ' ')[1]) + 1) WHEN 2 THEN replace(text, '— Brand', '+ Brand') ELSE text END END AS text_after FROM w)"""
@@ -175,12 +175,13 @@ SELECT doc_id, prefix::INTEGER AS prefix, suffix::INTEGER AS suffix, substr(new,
 
 
 def _spliced(spark, sf_dir):
-    """Up to three edits per document: a replaced, a deleted and an inserted piece."""
+    """Up to three edits per document of two characters or more: a replaced, a deleted and an inserted piece."""
     n = F.length("text")
     edit = lambda a, z, s: F.struct(F.floor(a).cast("long").alias("md_start"), F.floor(z).cast("long").alias("md_end"), F.lit(s).alias("new_text"))
-    edits = F.array(edit(n / 4, n / 4 + 1, "[new]"), edit(n / 2, n / 2 + 3, ""), edit(n * 3 / 4, n * 3 / 4, "[ins]"))
+    a, b, c = F.floor(n / 4), F.floor(n / 2), F.floor(n * 3 / 4)
+    edits = F.array(edit(a, F.least(a + 1, b), "[new]"), edit(b, F.least(b + 3, c), ""), edit(c, c, "[ins]"))
     docs = texts(spark, sf_dir)
-    return docs, docs.filter(n >= 40).filter("doc_id % 5 != 4").select("doc_id", F.explode(edits).alias("e")).select("doc_id", "e.*")
+    return docs, docs.filter(n >= 2).filter("doc_id % 5 != 4").select("doc_id", F.explode(edits).alias("e")).select("doc_id", "e.*")
 
 
 def accept_all(spark, sf_dir):
@@ -192,8 +193,8 @@ def reject_all(spark, sf_dir):
 
 
 ACCEPT = """
-WITH t AS (SELECT doc_id, coalesce(text, '') AS s, length(coalesce(text, '')) AS n FROM documents), u AS (SELECT *, n // 4 AS a, n // 2 AS b, n * 3 // 4 AS c FROM t)
-SELECT doc_id, CASE WHEN n < 40 OR doc_id % 5 = 4 THEN s ELSE substr(s, 1, a) || '[new]' || substr(s, a + 2, b - a - 1) || substr(s, b + 4, c - b - 3) || '[ins]' || substr(s, c + 1) END AS text FROM u"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s, length(coalesce(text, '')) AS n FROM documents), v AS (SELECT *, n // 4 AS a, n // 2 AS b, n * 3 // 4 AS c FROM t), u AS (SELECT *, least(a + 1, b) AS x, least(b + 3, c) AS y FROM v)
+SELECT doc_id, CASE WHEN n < 2 OR doc_id % 5 = 4 THEN s ELSE substr(s, 1, a) || '[new]' || substr(s, x + 1, b - x) || substr(s, y + 1, c - y) || '[ins]' || substr(s, c + 1) END AS text FROM u"""
 
 QUERIES = {
     "payload_filter": (payload_filter, PAYLOAD),

@@ -40,7 +40,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer activity from events: a document per hundred users, undated where the event is an error."""
     kind = F.when(F.col("event_type") == "view", "insertion").when(F.col("event_type") == "click", "deletion").when(F.col("event_type") == "signup", "comment-reply").otherwise("comment")
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 7).alias("doc_id"),
+        F.floor(F.col("user_id") / 100).alias("doc_id"),
         F.col("event_id").alias("doc_order"),
         kind.alias("kind"),
         F.when(F.col("user_id") % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("reviewer "), F.col("user_id").cast("string"))).alias("author"),
@@ -49,7 +49,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OBSERVATIONS = """observations AS (
-  SELECT user_id % 7 AS doc_id, event_id AS doc_order,
+  SELECT user_id // 100 AS doc_id, event_id AS doc_order,
          CASE event_type WHEN 'view' THEN 'insertion' WHEN 'click' THEN 'deletion' WHEN 'signup' THEN 'comment-reply' ELSE 'comment' END AS kind,
          CASE WHEN user_id % 11 = 0 THEN '' ELSE 'reviewer ' || user_id END AS author,
          CASE WHEN event_type != 'error' THEN ts END AS date

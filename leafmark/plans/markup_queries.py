@@ -10,20 +10,23 @@ from leafmark.operators import anchors as A
 from leafmark.operators import gates as G
 from leafmark.operators import registry as R
 from leafmark.plans.inputs import table, texts
+from leafmark.staging import settled
 
 HEADER = "<!-- h -->"
 
 
 def _marked(spark, sf_dir):
-    """Texts of forty characters or more with a substitution, a deletion, an insertion and a comment."""
+    """Texts with a substitution, a deletion, an insertion and a comment; in short ones the first two take what there is."""
     n = F.length("text")
     a, b, c = F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int"), F.floor(n * 3 / 4).cast("int")
+    x, y = F.least(a + 1, b), F.least(b + 3, c)
     cut = lambda x, y: F.substring(F.col("text"), x + 1, y - x)
-    marked = F.concat(cut(F.lit(0), a), F.lit("{~~"), cut(a, a + 1), F.lit("~>new~~}"), cut(a + 1, b), F.lit("{--"), cut(b, b + 3), F.lit("--}"), cut(b + 3, c), F.lit("{++ins++}"), cut(c, n), F.lit("{>>done<<}"))
-    return texts(spark, sf_dir).filter(n >= 40).select("doc_id", "text", marked.alias("marked"))
+    marked = F.concat(cut(F.lit(0), a), F.lit("{~~"), cut(a, x), F.lit("~>new~~}"), cut(x, b), F.lit("{--"), cut(b, y), F.lit("--}"), cut(y, c), F.lit("{++ins++}"), cut(c, n), F.lit("{>>done<<}"))
+    return texts(spark, sf_dir).select("doc_id", "text", marked.alias("marked"))
 
 
-_T = "t AS (SELECT doc_id, text AS s, length(text) AS n, length(text) // 4 AS a, length(text) // 2 AS b, length(text) * 3 // 4 AS c FROM documents WHERE length(text) >= 40)"
+_T = """d AS (SELECT doc_id, coalesce(text, '') AS s, length(coalesce(text, '')) AS n FROM documents), m AS (SELECT *, n // 4 AS a, n // 2 AS b, n * 3 // 4 AS c FROM d),
+t AS (SELECT *, least(a + 1, b) AS x, least(b + 3, c) AS y FROM m)"""
 
 
 def _tokens(spark, sf_dir):
@@ -36,8 +39,8 @@ def markup_tokens(spark, sf_dir):
 
 
 TOKENS = f"""WITH {_T}, e AS (
-SELECT doc_id, 0 AS edit_id, 'sub' AS type, a AS raw_start, a + 12 AS raw_end, a AS md_start, a + 1 AS md_end FROM t
-UNION ALL SELECT doc_id, 1, 'del', b + 11, b + 20, b, b + 3 FROM t
+SELECT doc_id, 0 AS edit_id, 'sub' AS type, a AS raw_start, x + 11 AS raw_end, a AS md_start, x AS md_end FROM t
+UNION ALL SELECT doc_id, 1, 'del', b + 11, y + 17, b, y FROM t
 UNION ALL SELECT doc_id, 2, 'ins', c + 17, c + 26, c, c FROM t
 UNION ALL SELECT doc_id, 3, 'comment', n + 26, n + 36, n, n FROM t)
 SELECT doc_id, edit_id::INTEGER AS edit_id, type, raw_start::INTEGER AS raw_start, raw_end::INTEGER AS raw_end, md_start::INTEGER AS md_start, md_end::INTEGER AS md_end FROM e"""
@@ -74,12 +77,30 @@ def fidelity_gate(spark, sf_dir):
     blocks = docs.select("doc_id", F.lit(0).alias("block_seq"), F.lit(start).alias("md_start"), (n + start).alias("md_end"))
     runs = blocks.select("doc_id", "block_seq", F.lit(0).alias("run_index"), "md_start", "md_end", F.lit(0).alias("char_offset"))
     locked = docs.filter(k == 6).select("doc_id", (F.floor(n / 2).cast("int") + start + 1).alias("s"), (F.floor(n / 2).cast("int") + start + 2).alias("e"))
-    read = G.read_responses(responses)
+    read = settled(G.read_responses(responses))  # both phases read it
     anchored = G.anchor_gates(G.edits_of(read), runs, blocks, locked, locked)
     return G.verdicts(G.text_gates(read, blocks), anchored)
 
 
-FIDELITY = "SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'G2' WHEN 2 THEN 'G1' WHEN 3 THEN 'G1' WHEN 4 THEN 'G1' WHEN 5 THEN 'G2' WHEN 6 THEN 'G4' END AS gate FROM documents WHERE length(text) >= 40"
+FIDELITY = "SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'G2' WHEN 2 THEN 'G1' WHEN 3 THEN 'G1' WHEN 4 THEN 'G1' WHEN 5 THEN 'G2' WHEN 6 THEN CASE WHEN length(text) * 3 // 4 >= length(text) // 2 + 2 THEN 'G4' END END AS gate FROM documents"
+
+
+def whole_deletions(spark, sf_dir):
+    """Each text as a list item with a gap of synthetic text in its middle, deleted as a paragraph and as a span; every fifth begins protected."""
+    docs = texts(spark, sf_dir).select("doc_id", F.length("text").alias("n"), F.floor(F.length("text") / 2).cast("int").alias("h"))
+    span = lambda a, z: docs.select("doc_id", F.lit(0).alias("block_seq"), a.cast("int").alias("md_start"), z.cast("int").alias("md_end"))
+    n, h = F.col("n"), F.col("h")
+    blocks = span(F.lit(0), n + 4)
+    runs = span(F.lit(2), h + 2).withColumn("run_index", F.lit(0)).unionByName(span(h + 4, n + 4).withColumn("run_index", F.lit(1))).withColumn("char_offset", F.lit(0)).filter("md_end > md_start")
+    synthetic = A.merge_spans(span(F.lit(0), F.lit(2)).unionByName(span(h + 2, h + 4)).select("doc_id", F.col("md_start").alias("s"), F.col("md_end").alias("e")))
+    locked = docs.filter("doc_id % 5 = 0 AND h > 0").select("doc_id", F.lit(2).alias("s"), F.lit(3).alias("e"))
+    edits = blocks.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("edit_id"), F.lit("del").alias("type"), "md_start", "md_end").withColumn("whole_paragraph", F.col("edit_id") == 0)
+    return G.anchor_gates(edits, runs, blocks, locked, synthetic)
+
+
+WHOLE_DELETIONS = """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, 0 AS edit_id, CASE WHEN doc_id % 5 = 0 AND n > 1 THEN 'G4' END AS gate FROM d
+UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 5 = 0 AND n > 1 OR n = 0 THEN 'G4' WHEN n > 1 THEN 'G3' END FROM d"""
 
 
 def edit_counts(spark, sf_dir):
@@ -213,10 +234,10 @@ def envelope_candidates(spark, sf_dir):
     fence = lambda s: F.concat(F.lit("```md\n"), s, F.lit("```\n"))
     paste = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("Here:\n"), fence(F.lit("x\n")), fence(F.col("text")))).otherwise(F.concat(fence(F.col("text")), F.lit("or\n"), fence(F.concat(F.lit("B"), "text")), F.lit("```open\n")))
     found = candidates(paste, F.length("text"))
-    return texts(spark, sf_dir).filter("length(text) > 10").select("doc_id", F.size(found).cast("long").alias("n"), F.element_at(found, 1).alias("best"))
+    return texts(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n"), F.element_at(found, 1).alias("best"))
 
 
-ENVELOPE = "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END AS n, CASE WHEN doc_id % 3 = 2 THEN 'B' ELSE '' END || text AS best FROM documents WHERE length(text) > 10"
+ENVELOPE = "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END AS n, CASE WHEN doc_id % 3 = 2 THEN 'B' ELSE '' END || coalesce(text, '') AS best FROM documents"
 
 
 def config_upsert(spark, sf_dir):
@@ -272,15 +293,16 @@ def audit_records(spark, sf_dir):
     return R.audit_record(docs, decisions, "1")
 
 
-AUDIT = """SELECT doc_id, '{"version":"1","source_sha256":"sha256-' || sha256(coalesce(text, '')) || '","output_sha256":"sha256-' || sha256(coalesce(text, '') || '!') || '","accepted":{"ins":' || CASE WHEN length(text) >= 40 AND (doc_id + 2) % 3 != 0 THEN 1 ELSE 0 END ||
-  ',"del":' || CASE WHEN length(text) >= 40 AND (doc_id + 1) % 3 != 0 THEN 1 ELSE 0 END || ',"sub":' || CASE WHEN length(text) >= 40 AND doc_id % 3 != 0 THEN 1 ELSE 0 END || ',"comment":' || CASE WHEN length(text) >= 40 AND doc_id % 3 != 0 THEN 1 ELSE 0 END || '}}' AS record FROM documents"""
+AUDIT = """SELECT doc_id, '{"version":"1","source_sha256":"sha256-' || sha256(coalesce(text, '')) || '","output_sha256":"sha256-' || sha256(coalesce(text, '') || '!') || '","accepted":{"ins":' || CASE WHEN (doc_id + 2) % 3 != 0 THEN 1 ELSE 0 END ||
+  ',"del":' || CASE WHEN (doc_id + 1) % 3 != 0 THEN 1 ELSE 0 END || ',"sub":' || CASE WHEN doc_id % 3 != 0 THEN 1 ELSE 0 END || ',"comment":' || CASE WHEN doc_id % 3 != 0 THEN 1 ELSE 0 END || '}}' AS record FROM documents"""
 
 QUERIES = {
     "markup_tokens": (markup_tokens, TOKENS),
-    "markup_strip": (markup_strip, "SELECT doc_id, NULL::VARCHAR AS error, text AS stripped FROM documents WHERE length(text) >= 40"),
+    "markup_strip": (markup_strip, "SELECT doc_id, NULL::VARCHAR AS error, coalesce(text, '') AS stripped FROM documents"),
     "whole_paragraphs": (whole_paragraphs, WHOLE),
     "fidelity_gate": (fidelity_gate, FIDELITY),
-    "edit_counts": (edit_counts, "SELECT doc_id, 1::BIGINT AS ins, 1::BIGINT AS del, 1::BIGINT AS sub, 1::BIGINT AS comment FROM documents WHERE length(text) >= 40"),
+    "whole_deletions": (whole_deletions, WHOLE_DELETIONS),
+    "edit_counts": (edit_counts, "SELECT doc_id, 1::BIGINT AS ins, 1::BIGINT AS del, 1::BIGINT AS sub, 1::BIGINT AS comment FROM documents"),
     "oversized_deletions": (oversized_deletions, OVERSIZED),
     "duplicate_comments": (duplicate_comments, DUPLICATES),
     "range_resolve": (range_resolve, RANGES),
