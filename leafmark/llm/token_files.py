@@ -44,7 +44,7 @@ MOST_TASKS = 10000
 #: Ids that a reader takes from a file at once.
 READ_TOKENS = 1 << 20
 #: Bytes of distinct pieces with their ids that a worker remembers as recent, and pieces that it encodes in one string.
-REMEMBERED = 64 << 20
+REMEMBERED = 112 << 20
 JOINED = 4096
 
 MANIFEST = "file int, path string, docs long, nulls long, tokens long, width int"
