@@ -81,6 +81,17 @@ def verdicts(text: DataFrame, anchored: DataFrame) -> DataFrame:
     return text.join(second, "doc_id", "left").select("doc_id", F.coalesce("gate", "_gate").alias("gate"))
 
 
+def chunk_verdicts(chunk_gates: DataFrame, anchored: DataFrame) -> DataFrame:
+    """Per document of chunk_gates(doc_id, chunk_index, gate) the gate of its first chunk that fails phase one, with its index.
+
+    Only where every chunk passes do the merged edits of anchored(doc_id, edit_id, gate) count, without an index.
+    """
+    failed = F.when(F.col("gate").isNotNull(), F.struct("chunk_index", "gate"))
+    first = chunk_gates.groupBy("doc_id").agg(F.min(failed).alias("_first"))
+    second = anchored.filter("gate IS NOT NULL").groupBy("doc_id").agg(F.min_by("gate", "edit_id").alias("_gate"))
+    return first.join(second, "doc_id", "left").select("doc_id", F.coalesce("_first.gate", "_gate").alias("gate"), F.col("_first.chunk_index").alias("chunk_index"))
+
+
 def edit_counts(edits: DataFrame) -> DataFrame:
     return edits.groupBy("doc_id").agg(*[F.count_if(F.col("type") == k).alias(k) for k in ("ins", "del", "sub", "comment")])
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmark.functions.text import sha256_tag
+from leafmark.functions.fingerprint import fingerprint
+from leafmark.functions.jsonl import message_of
+from leafmark.functions.text import normalize_confidence, sha256_tag
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -73,3 +75,49 @@ def resume(sessions: DataFrame, verdicts: DataFrame, version: str) -> DataFrame:
     fault = lambda why: F.raise_error(F.concat(F.lit(f"{why} in the session of document "), F.col("doc_id").cast("string"))).cast("string")
     checked = F.when(~F.col("version").eqNullSafe(F.lit(version)), fault("another version")).when(~F.col("verdict").eqNullSafe(F.col("_again")), fault("another verdict")).otherwise(F.col("verdict"))
     return rows.join(again, "doc_id", "left").withColumn("verdict", checked).withColumn("content", F.unbase64("content")).drop("_again")
+
+
+def line_fingerprints(lines: DataFrame) -> DataFrame:
+    """doc_id and the fingerprint of its lines(doc_id, line_no, line) in order, a line feed behind each."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    whole = F.array_join(F.transform(ordered, lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    return lines.groupBy("doc_id").agg(whole.alias("_whole")).select("doc_id", fingerprint(F.col("_whole")).alias("fingerprint"))
+
+
+def attested(text: Column) -> Column:
+    """An export behind a head that tells its own fingerprint."""
+    return F.concat(F.lit("<<PAYLOAD_FINGERPRINT: "), fingerprint(text), F.lit(">>\r\n\r\n"), text)
+
+
+def log_rows(plan: DataFrame, lines: DataFrame, edits: DataFrame, logged_at: Column, confidence: Column) -> DataFrame:
+    """One row per edit line of `edits.apply_plan`: when, line, anchor, change type, status, reason, the line, confidence, pass.
+
+    lines(doc_id, line_no, line); edits(doc_id, line_no, edit) as `edits.evaluated` reads them; confidence is the default.
+    """
+    rows = plan.join(lines.select("doc_id", "line_no", "line"), ["doc_id", "line_no"]).join(edits.select("doc_id", "line_no", "edit"), ["doc_id", "line_no"])
+    level = normalize_confidence(F.coalesce("edit.confidence", F.lit("")), confidence)
+    reason = F.when(F.col("status") == "Skipped", F.coalesce(message_of(F.col("why")), F.nullif("why", F.lit("")), F.lit("No operation performed"))).otherwise("")
+    return rows.select("doc_id", logged_at.alias("logged_at"), "line_no", F.coalesce("anchor", F.lit("")).alias("bookmark_id"), F.coalesce("edit.change_type", F.lit("")).alias("change_type"), "status", reason.alias("reason"), "line", level.alias("confidence"), "pass_no")
+
+
+# fixed values: the columns of a trace row
+TRACE = "Timestamp Operator Persona Mode SourceDoc WorkingDoc RecommendedRoute ExportFingerprint JsonlFingerprint LinesTotal Applied Skipped UnaddressedComments CoverageDecision WorkFolder".split()
+
+
+def trace_rows(runs: DataFrame, summary: DataFrame, payloads: DataFrame) -> DataFrame:
+    """The lineage row of each run, for appending: runs hold the columns of TRACE that are not counted here, and doc_id.
+
+    summary is that of `edits.apply_summary`, payloads(doc_id, fingerprint) those of `line_fingerprints`. A run without edits
+    counts none and has an empty fingerprint.
+    """
+    counts = summary.select("doc_id", F.col("total").alias("LinesTotal"), F.col("applied").alias("Applied"), F.col("skipped").alias("Skipped"), F.col("unaddressed").cast("string").alias("UnaddressedComments"))
+    rows = runs.join(counts, "doc_id", "left").join(payloads.select("doc_id", F.col("fingerprint").alias("JsonlFingerprint")), "doc_id", "left")
+    empty = {"LinesTotal": 0, "Applied": 0, "Skipped": 0, "UnaddressedComments": "", "JsonlFingerprint": ""}
+    return rows.na.fill(empty).select("doc_id", *TRACE)
+
+
+def read_back(runs: DataFrame, revisions: DataFrame, author: str) -> DataFrame:
+    """runs(doc_id, text_edited) with `author_seen`: whether a revision in doc_id, author bears the author's name in any case;
+    null where no text was edited."""
+    seen = revisions.filter(F.lower("author") == author.lower()).select("doc_id", F.lit(True).alias("_seen")).distinct()
+    return runs.join(seen, "doc_id", "left").select(*runs.columns, F.when(F.col("text_edited"), F.coalesce("_seen", F.lit(False))).alias("author_seen"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmark.operators import edits as E
+from leafmark.operators import gates as G
+from leafmark.operators import registry as R
+from leafmark.operators import render as N
 from leafmark.plans.inputs import table, texts
+from leafmark.plans.text_queries import _fingerprint_sql_of
 
 TAG = "review"
 
@@ -153,6 +157,85 @@ def apply_summary(spark, sf_dir):
     return E.apply_summary(E.apply_plan(*_apply(spark, sf_dir)), 3)
 
 
+def _named(rows):
+    return rows.withColumn("line", F.replace("line", F.lit("}"), F.lit(',"confidence":"hi"}')))
+
+
+def apply_log(spark, sf_dir):
+    lines, paragraphs = _apply(spark, sf_dir)
+    lines = _named(lines)
+    rows = R.log_rows(E.apply_plan(lines, paragraphs), lines, E.evaluated(lines), F.lit("2026-01-01T00:00:00Z"), F.lit("low"))
+    return rows.withColumn("reason", F.col("reason") != "")
+
+
+APPLY_LOG = """ SELECT plan.doc_id, '2026-01-01T00:00:00Z' AS logged_at, line_no, plan.anchor AS bookmark_id, CASE k % 6 WHEN 0 THEN 'delete_element' WHEN 4 THEN 'accept_revision' WHEN 5 THEN 'accept_revision' ELSE 'replace_text' END AS change_type, status, status = 'Skipped' AS reason,
+  '{"bookmark_id":"' || plan.anchor || '","change_type":' || CASE k % 6 WHEN 0 THEN '"delete_element"' WHEN 1 THEN '"replace_text","old_text":"' || string_split(p_name, ' ')[1] || '","new_text":"new"' WHEN 2 THEN '"replace_text","old_text":"- Brand","new_text":"+ Brand"'
+  WHEN 3 THEN '"replace_text","old_text":"absent","new_text":"x"' WHEN 4 THEN '"accept_revision","apply_change":false' ELSE '"accept_revision"' END || ',"confidence":"hi"}' AS line, 'Low' AS confidence, pass_no FROM plan JOIN p ON p.k = plan.line_no"""
+
+
+def apply_trace(spark, sf_dir):
+    """A run for each document of `_apply` and one without edits."""
+    lines, paragraphs = _apply(spark, sf_dir)
+    told = {"Timestamp": "2026-01-01T00:00:00Z", "Operator": "o", "Persona": "p", "Mode": "Review", "RecommendedRoute": "route", "ExportFingerprint": "0" * 16, "CoverageDecision": "none", "WorkFolder": "/w"}
+    ids = lines.select("doc_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("doc_id")))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    runs = ids.select("doc_id", *[F.lit(v).alias(k) for k, v in told.items()], F.concat(name, F.lit(".docx")).alias("SourceDoc"), F.concat(name, F.lit("_w.docx")).alias("WorkingDoc"))
+    return R.trace_rows(runs, E.apply_summary(E.apply_plan(lines, paragraphs), 3), R.line_fingerprints(lines.select("doc_id", "line_no", F.col("line_no").cast("string").alias("line"))))
+
+
+APPLY_TRACE = """, f AS (SELECT k // 50 AS doc_id, string_agg(k::VARCHAR || chr(10), '' ORDER BY k) AS text FROM p GROUP BY 1),
+u AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c, i: ord(c)) AS c FROM f),
+h AS (SELECT doc_id, printf('%08X%08X', list_reduce(list_concat([18652614::BIGINT], c::BIGINT[]), lambda a, x: (a * 131 + x + 1) % 2147483647),
+      list_reduce(list_concat([1099511628::BIGINT], list_transform(c::BIGINT[], lambda x, i: x + i % 251)), lambda a, x: (a * 137 + x + 1) % 2147483629)) AS fp FROM u),
+s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (status = 'Applied') AS a FROM plan GROUP BY 1), d AS (SELECT doc_id FROM s UNION ALL SELECT -1)
+SELECT d.doc_id, '2026-01-01T00:00:00Z' AS "Timestamp", 'o' AS "Operator", 'p' AS "Persona", 'Review' AS "Mode", 'd' || d.doc_id || '.docx' AS "SourceDoc", 'd' || d.doc_id || '_w.docx' AS "WorkingDoc", 'route' AS "RecommendedRoute", '0000000000000000' AS "ExportFingerprint",
+  coalesce(fp, '') AS "JsonlFingerprint", coalesce(n, 0) AS "LinesTotal", coalesce(a, 0) AS "Applied", coalesce(n - a, 0) AS "Skipped", CASE WHEN n IS NULL THEN '' ELSE '3' END AS "UnaddressedComments", 'none' AS "CoverageDecision", '/w' AS "WorkFolder"
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id"""
+
+
+def author_read_back(spark, sf_dir):
+    """Whether a customer that ordered has an urgent order, as if priorities were authors."""
+    orders = table(spark, sf_dir, "orders")
+    runs = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg((F.count(F.lit(1)) > 3).alias("text_edited"))
+    return R.read_back(runs, orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("author")), "1-Urgent")
+
+
+READ_BACK = "SELECT o_custkey AS doc_id, count(*) > 3 AS text_edited, CASE WHEN count(*) > 3 THEN bool_or(lower(o_orderpriority) = '1-urgent') END AS author_seen FROM orders GROUP BY 1"
+
+
+def chunk_verdicts(spark, sf_dir):
+    """Orders as documents, lines as chunks: one returned fails phase one; edits of late lines fail phase two."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("chunk_index"), "l_returnflag", "l_linestatus")
+    gates = lines.select("doc_id", "chunk_index", F.when(F.col("l_returnflag") == "R", F.when(F.col("chunk_index") % 2 == 0, "G1").otherwise("G2")).alias("gate"))
+    edits = lines.select("doc_id", F.col("chunk_index").alias("edit_id"), F.when(F.col("l_linestatus") == "F", F.when(F.col("chunk_index") % 3 == 0, "G3").otherwise("G4")).alias("gate"))
+    return G.chunk_verdicts(gates, edits)
+
+
+CHUNK_VERDICTS = """
+WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS n, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'G1' ELSE 'G2' END END AS g, CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_linenumber % 3 = 0 THEN 'G3' ELSE 'G4' END END AS h FROM lineitem)
+SELECT doc_id, coalesce(arg_min(g, n) FILTER (g IS NOT NULL), arg_min(h, n) FILTER (h IS NOT NULL)) AS gate, min(n) FILTER (g IS NOT NULL) AS chunk_index FROM l GROUP BY doc_id"""
+
+
+def attested_exports(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", R.attested(F.col("text")).alias("text"))
+
+
+def repair_messages(spark, sf_dir):
+    """A failure for each document: gate by doc_id, place in the middle, twice where doc_id is divisible by three."""
+    k, n = F.col("doc_id") % 5, F.length("text")
+    apart = F.when(k == 2, F.struct(F.floor(n / 2).cast("int").alias("offset"), F.substring("text", 1, 9).alias("after_a"), F.lit("other").alias("after_b")))
+    rows = texts(spark, sf_dir).select("doc_id", F.concat(F.lit("G"), k.cast("string")).alias("gate"), F.lit("wrong").alias("message"), F.col("text").alias("response"), F.when(k != 2, F.floor(n / 2).cast("int")).alias("at"), (F.col("doc_id") % 3 + 1).cast("int").alias("attempts"), apart.alias("divergence"))
+    return N.repair_messages(rows).select("doc_id", "repair")
+
+
+_QUOTED = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+REPAIRS = f"""
+WITH d AS (SELECT doc_id, doc_id % 5 AS k, coalesce(text, '') AS t, length(coalesce(text, '')) // 2 AS m FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN {_QUOTED(N.AFRESH)} ELSE '' END || 'wrong' || CASE WHEN k = 0 THEN '' WHEN k = 2 THEN chr(10) || 'It differs from place ' || m || ' on.' || chr(10) || 'You wrote: "' || substr(t, 1, 9) || '"' || chr(10) || 'Expected: "other"'
+  ELSE chr(10) || 'Near: "' || CASE WHEN m > 80 THEN '…' ELSE '' END || substr(t, greatest(m - 80, 0) + 1, least(m + 80, length(t)) - greatest(m - 80, 0)) || CASE WHEN m + 80 < length(t) THEN '…' ELSE '' END || '"' END ||
+  CASE k WHEN 1 THEN chr(10) || {_QUOTED(N.ADVICE['G1'])} WHEN 2 THEN chr(10) || {_QUOTED(N.ADVICE['G2'])} WHEN 3 THEN chr(10) || {_QUOTED(N.ADVICE['G3'])} WHEN 4 THEN chr(10) || {_QUOTED(N.ADVICE['G4'])} ELSE '' END AS repair FROM d"""
+
+
 def _perturbed(spark, sf_dir):
     """Each text and a copy with ten characters from its middle replaced."""
     n = F.length("text")
@@ -204,6 +287,12 @@ QUERIES = {
     "comment_coverage": (comment_coverage, COVERAGE),
     "anchor_reconcile": (anchor_reconcile, RECONCILE),
     "apply_plan": (apply_plan, _APPLY + " SELECT * FROM plan"),
+    "apply_log": (apply_log, _APPLY + APPLY_LOG),
+    "apply_trace": (apply_trace, _APPLY + APPLY_TRACE),
+    "author_read_back": (author_read_back, READ_BACK),
+    "chunk_verdicts": (chunk_verdicts, CHUNK_VERDICTS),
+    "attested_exports": (attested_exports, f"SELECT doc_id, '<<PAYLOAD_FINGERPRINT: ' || fingerprint || '>>' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(text, '') AS text FROM documents JOIN ({_fingerprint_sql_of('text', 'documents', 'doc_id')}) USING (doc_id)"),
+    "repair_messages": (repair_messages, REPAIRS),
     "apply_summary": (apply_summary, _APPLY + " SELECT doc_id, count(*) AS total, count(*) FILTER (status = 'Applied') AS applied, count(*) FILTER (status = 'Skipped') AS skipped, count(*) AS parsed, 0::BIGINT AS replied, 3::BIGINT AS unaddressed FROM plan GROUP BY 1"),
     "minimal_span": (minimal_span, MINIMAL_SPAN),
     "accept_all": (accept_all, ACCEPT),

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from leafmark.sources import docx, inject
+from leafmark.sources import docx, inject, observed
 
 NS = 'xmlns:w="urn:w" xmlns:r="urn:r" xmlns:w14="urn:w14" xmlns:w15="urn:w15" xmlns:a="urn:a" xmlns:m="urn:m"'
 
@@ -95,8 +95,8 @@ def test_export_matches_expected_markdown(entries):
 
 
 def test_preflight_tells_all_reasons(entries):
-    got = {r.path[4:-5]: (r.ok, r.reasons.count("\n\n")) for r in docx.preflight(docx.segments(entries)).collect()}
-    assert got["headings"] == (True, 0) and got["tracked"][0] is False and got["threads"] == (False, 0)
+    got = {r.path[4:-5]: (r.ok, r.reasons.count("\n\n")) for r in docx.preflight(docx.segments(entries), docx.comments(entries)).collect()}
+    assert got["headings"] == (True, 0) and got["tracked"][0] is False and got["threads"] == (False, 1)
 
 
 def test_rewriting_keeps_other_parts(spark, entries):
@@ -124,7 +124,7 @@ def test_comments_are_added_with_parents(spark, entries):
 def test_hazards_and_format_changes(spark):
     body = f'<w:p><w:r><w:t>a</w:t><w:tab/></w:r></w:p><w:p>{run("b", "<w:rPrChange/>")}{run("c", "<w:rPrChange/>")}</w:p>'
     one = docx.parts(spark.createDataFrame([("/h.docx", package(body))], "path string, content binary"))
-    assert docx.preflight(docx.segments(one)).first().reasons == "the document holds tabs, breaks or deleted text"
+    assert docx.preflight(docx.segments(one), docx.comments(one)).first().reasons == "the document holds tabs, breaks or deleted text"
     assert "<!-- 2 formatting changes -->" in docx.export(one).first().markdown
 
 
@@ -193,3 +193,28 @@ def test_edits_that_do_not_fit_stop_the_job(spark, editable, wrong, why):
     entries = editable.filter("path = '/e.docx'")
     with pytest.raises(Exception, match=why):
         inject.documents(entries, ops, "AR", "2026-07-05T00:00:00Z").collect()
+
+
+def test_observations_and_slices(spark):
+    """Replies keep the part's order beyond nine, ranges without text get a mark, lost threads come last, a pass sees its own."""
+    body = para(run("One. "), ranged(["0"], "  "), run("Two."), change("del", "x"), change("ins", "y")) + para(change("ins", "z", "B", "2026-07-20T09:00:00Z"), style="Heading1")
+    names = ["0", *map(str, range(2, 13)), "lost"]
+    notes = "".join(note(i, "C", f"c{i}", f"P{i}") for i in names)
+    more = "".join(f'<w15:commentEx w15:paraId="P{i}" ' + ('w15:paraIdParent="P0" ' if i not in ("0", "lost") else "") + 'w15:done="0"/>' for i in names)
+    entries = docx.parts(spark.createDataFrame([("/in/o.docx", package(body, notes, more)), ("/in/bare.docx", package(para()))], "path string, content binary")).persist()
+    seen = observed.observations(entries).orderBy("path", "doc_order").collect()
+    assert [(r.doc_order, r.kind, r.text) for r in seen[:2]] == [(0, "comment", "c0"), (1, "comment-reply", "c2")] and len(seen) == 16
+    assert [r.text for r in seen[1:12]] == [f"c{i}" for i in range(2, 13)] and {r.parent_comment_id for r in seen[1:12]} == {"0"}
+    assert {r.anchor_text for r in seen[:12]} == {"Two."} and [(r.kind, r.text, r.id) for r in seen[12:15]] == [("deletion", "x", "9"), ("insertion", "y", "9"), ("insertion", "z", "9")]
+    assert (seen[15].text, seen[15].anchor_text) == ("clost", None)
+    cut = {(r.author, r.pass_no): r.slice.split("---\n\n", 1)[1] for r in observed.slices(entries, "2026-08-01").collect()}
+    assert set(cut) == {("Reviewer A", 0), ("B", 0), ("C", 0)}
+    # one id for all changes here, so each author's slice shows them all
+    assert cut["B", 0] == "One.   Two.{~~x~>y~~}\n\n# {++z++}\n"
+    assert cut["C", 0].startswith("One. {==  ==}{>>C [2026-07-02]: c0<<}{>>↳ reply to C — C [2026-07-02]: c2<<}") and cut["C", 0].endswith("Two.y\n\n# z\n") and "lost" not in cut["C", 0]
+
+
+def test_large_packages_come_in_several_batches(spark):
+    many = package("".join(para(run(f"p{i}")) for i in range(docx.ROWS + 10)))
+    rows = docx.segments(docx.parts(spark.createDataFrame([("/many.docx", many)], "path string, content binary")))
+    assert rows.count() == docx.ROWS + 10 and rows.select("body_idx").distinct().count() == docx.ROWS + 10

@@ -180,3 +180,15 @@ def test_sessions_resume_or_stop(spark):
     for other, version in ((docs.withColumn("verdict", F.lit("G1")), "1"), (docs, "2")):
         with pytest.raises(Exception, match="in the session of document"):
             R.resume(saved, other, version).collect()
+
+
+def test_the_first_failing_chunk_stops(spark):
+    chunks = spark.createDataFrame([(1, 0, None), (1, 1, "G2"), (1, 2, "G1"), (2, 0, None), (3, 0, None)], "doc_id long, chunk_index long, gate string")
+    edits = spark.createDataFrame([(1, 0, "G4"), (2, 1, "G3"), (2, 0, None), (3, 0, None)], "doc_id long, edit_id long, gate string")
+    assert {r.doc_id: (r.gate, r.chunk_index) for r in G.chunk_verdicts(chunks, edits).collect()} == {1: ("G2", 1), 2: ("G3", None), 3: (None, None)}
+
+
+def test_authors_are_read_back(spark):
+    runs = spark.createDataFrame([(1, True), (2, True), (3, False)], "doc_id long, text_edited boolean")
+    seen = R.read_back(runs, spark.createDataFrame([(1, "AUTOREVIEWER"), (1, "autoreviewer"), (2, "Me"), (3, "AutoReviewer")], "doc_id long, author string"), "AutoReviewer")
+    assert {r.doc_id: r.author_seen for r in seen.collect()} == {1: True, 2: False, 3: None}

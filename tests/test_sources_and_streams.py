@@ -89,6 +89,8 @@ def test_prompts_and_repairs(spark):
     first, second = (r.prompt for r in N.prompts(docs, *[F.lit(x) for x in ("p", "t", "g", "c")]).orderBy("chunk_index").collect())
     assert first == "[PERSONA]\np\n\n[TASK]\nThis is part 1 of 2.\nt\n\n[GRAMMAR]\ng\n\n[CONSTRAINTS]\nc\n- Begin with these exact lines:\n    h1\n    h2\n\n[DOCUMENT]\n```markdown\nbody\n```"
     assert "exact lines" not in second and "part 2 of 2" in second
-    failures = spark.createDataFrame([(1, "G1", "m", "x" * 200, 100, 2), (2, "G2", "m", "", None, 1)], "doc_id long, gate string, message string, response string, at int, attempts int")
-    a, b = (r.repair for r in N.repair_messages(failures).orderBy("doc_id").collect())
-    assert a == f"Fix only this (G1): m\n\nNear:\n…{'x' * 160}…\n\nThis has failed before: start from the document again rather than from your last answer." and b == "Fix only this (G2): m"
+    failures = [(1, "G1", "m", "x" * 200, 100, 2, None), (2, "G2", "m", "", None, 1, (3, "a", "b")), (3, "G5", "m", "", None, 1, None)]
+    told = N.repair_messages(spark.createDataFrame(failures, "doc_id long, gate string, message string, response string, at int, attempts int, divergence struct<offset:int,after_a:string,after_b:string>"))
+    a, b, c = (r.repair for r in told.orderBy("doc_id").collect())
+    assert a == f'{N.AFRESH}m\nNear: "…{"x" * 160}…"\n{N.ADVICE["G1"]}'
+    assert b == f'm\nIt differs from place 3 on.\nYou wrote: "a"\nExpected: "b"\n{N.ADVICE["G2"]}' and c == "m"
