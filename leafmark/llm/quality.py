@@ -1,11 +1,12 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled 1; the unlabelled side is a sample of all documents, labels ignored. A logistic
-model over shape features minimises the non-negative unbiased risk
-    prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]),
-where the class prior is estimated from both samples: the least ratio of their upper-tail shares under a first classifier
-of positives against unlabelled ones. Both samples are bounded (`SAMPLE` rows each, the lowest seeded hashes); the model
-is fitted on the driver from their features, some tens of numbers a row. Every document is scored by its whole text.
+model over the shape of a text and hashed n-grams of its bytes and words minimises the non-negative unbiased risk
+    prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
+with a ridge, a stronger one on the n-grams, where the class prior is estimated from both samples: the least ratio of their upper-tail shares under a first
+classifier of positives against unlabelled ones, which is fitted on one half and read on the other. Both samples are
+bounded (`SAMPLE` rows each, the lowest seeded hashes); the model is fitted on the driver from their features, some
+hundreds of numbers a row. Every document is scored by its whole text.
 
 Defined results: null text counts as empty; ids in several label rows are trusted only if all say 1; without trusted
 positives every score is 1; rows with a null id are scored, held out and never learnt from; an empty table gives no rows;
@@ -14,6 +15,7 @@ positives every score is 1; rows with a null id are scored, held out and never l
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
@@ -28,22 +30,46 @@ from pyspark.sql.types import DoubleType
 SAMPLE = 10000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-ROUNDS = 1500
+ROUNDS = 500
 RATE = 0.02
-DECAY = 1e-3
+#: Buckets that trigrams of bytes are hashed into, those that words are, and those that pairs of words are.
+TRIGRAMS, WORDS, PAIRS = 128, 64, 64
+#: Bytes whose trigrams are counted at a time.
+BLOCK = 1 << 20
+#: The odd multiplier of multiplicative hashing, 2^32 by the golden ratio.
+SPREAD = np.uint32(2654435769)
 #: Marks whose number per word is a feature of its own: those that seldom stand in sentences, numbers and addresses.
 MARKS = np.array([ord(c) for c in "!#$%&*<>[\\]^`{|}~"])
 
 
+def _buckets(codes: np.ndarray, width: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """How many of some 32-bit codes fall into each bucket; the number of buckets is a power of two."""
+    return np.bincount((codes * SPREAD) >> np.uint32(33 - width.bit_length()), weights=counts, minlength=width)
+
+
+def grams(data: np.ndarray, words: list[str], counts: dict[str, int]) -> np.ndarray:
+    """Shares of the hashed byte trigrams, words and word pairs of a whole text."""
+    trigrams = np.zeros(TRIGRAMS)
+    for at in range(0, len(data) - 2, BLOCK):
+        part = data[at : at + BLOCK + 2].astype(np.uint32)
+        trigrams += _buckets(part[:-2] << 16 | part[1:-1] << 8 | part[2:], TRIGRAMS)
+    codes = {w: zlib.crc32(w.encode()) for w in counts}
+    own = _buckets(np.fromiter(codes.values(), dtype=np.uint32, count=len(codes)), WORDS, np.fromiter(counts.values(), dtype=float, count=len(counts)))
+    row = np.fromiter(map(codes.__getitem__, words), dtype=np.uint32, count=len(words))
+    pairs = _buckets(row[:-1] * np.uint32(31) + row[1:], PAIRS)
+    return np.concatenate([x / max(x.sum(), 1) for x in (trigrams, own, pairs)])
+
+
 def features(text: str) -> np.ndarray:
-    """Shape of a text: marks, capitals and repetition; square roots of shares."""
+    """Shape of a text (marks, capitals and repetition) and its hashed n-grams; square roots of shares."""
     words = text.split()
     n = max(len(words), 1)
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     seen = np.bincount(data, minlength=256)
     letters = max(int(seen[65:91].sum() + seen[97:123].sum() + seen[192:].sum()), 1)
     repeats = sum(map(eq, words, words[1:]))
-    common = max(Counter(words).values(), default=0)
+    counts = Counter(words)
+    common = max(counts.values(), default=0)
     shape = [
         seen[MARKS].sum() / n,
         sum(map(str.isupper, words)) / n,
@@ -51,12 +77,15 @@ def features(text: str) -> np.ndarray:
         max(0, repeats - 1) / n,
         max(0, common - 2) / n,
         sum(not w[-1].isalnum() and w[-1] not in ".,;:?" for w in words) / n,
-        sum(not any(map(str.isalnum, w)) for w in set(words) if len(w) < 4) / n,
+        sum(not any(map(str.isalnum, w)) for w in counts if len(w) < 4) / n,
     ]
-    return np.minimum(np.sqrt(np.concatenate((shape, seen[MARKS] / n))), 2)
+    return np.minimum(np.sqrt(np.concatenate((shape, seen[MARKS] / n, grams(data, words, counts)))), 2)
 
 
 WIDTH = len(features(""))
+#: Ridge of the shape's weights and of the n-grams': many columns, each of which tells little, must not outweigh few that tell much.
+SHAPE_RIDGE, GRAM_RIDGE = 1e-3, 0.1
+RIDGE = np.repeat([SHAPE_RIDGE, GRAM_RIDGE], [WIDTH - TRIGRAMS - WORDS - PAIRS, TRIGRAMS + WORDS + PAIRS])
 
 
 class Model(NamedTuple):
@@ -74,22 +103,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
+def gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float | None) -> np.ndarray:
+    """The step's direction by weights: of the non-negative risk, or without a prior of positives against unlabelled ones."""
+    gp, gu = _sigmoid(p @ w), _sigmoid(u @ w)
+    up = p.T @ (gp - 1) / len(p)  # logistic loss of positives as positives
+    if prior is None:
+        return up + u.T @ gu / len(u)
+    rest = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+    down = u.T @ gu / len(u) - prior * (p.T @ gp) / len(p)
+    return prior * up + down if rest >= 0 else -down
+
+
 def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam: of the non-negative risk, or without a prior of positives against unlabelled ones."""
+    """Weights and bias by Adam, with a falling rate and the ridge."""
     p, u = (np.hstack((x, np.ones((len(x), 1)))) for x in (pos, unl))
     w, m, v = (np.zeros(p.shape[1]) for _ in range(3))
+    ridge = np.append(RIDGE, SHAPE_RIDGE)
     for t in range(1, ROUNDS + 1):
-        gp, gu = _sigmoid(p @ w), _sigmoid(u @ w)
-        up = p.T @ (gp - 1) / len(p)  # logistic loss of positives as positives
-        if prior is None:
-            grad = up + u.T @ gu / len(u)
-        else:
-            rest = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
-            down = u.T @ gu / len(u) - prior * (p.T @ gp) / len(p)
-            grad = prior * up + down if rest >= 0 else -down
-        grad = grad + DECAY * w
+        grad = gradient(p, u, w, prior) + ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = w - RATE * (1 - (t - 1) / ROUNDS) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
@@ -107,8 +140,12 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
     both = np.vstack((pos, unl))
     mean, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 0.1)  # a rare mark must not weigh more than a common one
     p, u = (pos - mean) / scale, (unl - mean) / scale
-    w, b = _fit(p, u, None)
-    prior = estimate_prior(p @ w + b, u @ w + b)
+    half = lambda x, i: x[i::2] if len(x) > 1 else x
+    priors = []
+    for i in (0, 1):
+        w, b = _fit(half(p, i), half(u, i), None)
+        priors.append(estimate_prior(half(p, 1 - i) @ w + b, half(u, 1 - i) @ w + b))
+    prior = sum(priors) / 2
     w, b = _fit(p, u, prior)
     return Model(w, b, mean, scale, prior)
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import time
+import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -213,6 +215,52 @@ def test_quality_held_out_accuracy(spark):
     assert kept.columns == docs.columns and 0.7 < kept.count() / docs.count() < 1
 
 
+def _risk(p, u, w, prior):
+    loss = lambda z: np.log1p(np.exp(-z))
+    rest = loss(-(u @ w)).mean() - prior * loss(-(p @ w)).mean()
+    return prior * loss(p @ w).mean(), rest
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.6, 0.95])
+def test_quality_steps_follow_the_risk(prior):
+    draw = np.random.default_rng(7)
+    met = set()
+    for _ in range(40):
+        p, u, w = draw.normal(1, 1, (30, 4)), draw.normal(0, 1, (50, 4)), draw.normal(0, 2, 4)
+        up, rest = _risk(p, u, w, prior)
+        met.add(rest >= 0)
+        # below zero the step climbs back the part that fell too low, else it descends the whole risk
+        goal = (lambda v: sum(_risk(p, u, v, prior))) if rest >= 0 else (lambda v: -_risk(p, u, v, prior)[1])
+        slope = [(goal(w + e) - goal(w - e)) / 2e-5 for e in np.eye(4) * 1e-5]
+        assert np.allclose(quality.gradient(p, u, w, prior), slope, atol=1e-6)
+    assert True in met and (prior < 0.9 or False in met)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_quality_prior_is_near_the_share_of_positives(share):
+    draw = np.random.default_rng(3)
+    n = 4000
+    unlabelled = np.where(draw.random(n) < share, draw.normal(2, 1, n), draw.normal(-2, 1, n))
+    assert abs(quality.estimate_prior(draw.normal(2, 1, n), unlabelled) - share) < 0.06
+
+
+def test_quality_grams_count_the_whole_text():
+    text = "the ß cat the cat\n" * 200_000
+    words, data = text.split(), text.encode()
+    bucket = lambda code, width: ((code * int(quality.SPREAD)) % 2**32) * width >> 32
+    trigrams, own, pairs = np.zeros(quality.TRIGRAMS), np.zeros(quality.WORDS), np.zeros(quality.PAIRS)
+    for gram, n in Counter(zip(data, data[1:], data[2:])).items():
+        trigrams[bucket(gram[0] << 16 | gram[1] << 8 | gram[2], quality.TRIGRAMS)] += n
+    code = {w: zlib.crc32(w.encode()) for w in set(words)}
+    for w, n in Counter(words).items():
+        own[bucket(code[w], quality.WORDS)] += n
+    for (a, b), n in Counter(zip(words, words[1:])).items():
+        pairs[bucket((code[a] * 31 + code[b]) % 2**32, quality.PAIRS)] += n
+    shares = np.sqrt(np.concatenate([x / x.sum() for x in (trigrams, own, pairs)]))
+    assert np.allclose(quality.features(text)[-len(shares) :], shares)
+    assert [len(quality.features(t)) for t in ("", " ", "a", "ab", "\n \t")] == [quality.WIDTH] * 5
+
+
 def test_quality_without_positives_or_texts(spark):
     docs = spark.createDataFrame([(1, None, 5), (None, "x", 6), (2, "y " * 20000, 7)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, quality int")
