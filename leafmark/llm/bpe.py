@@ -227,6 +227,8 @@ def _mapped(rows: DataFrame, schema: str, work: Callable[[pa.Array], dict]) -> D
             for values in slices(b.column(1)):
                 yield pa.record_batch({"id": b.column(0).slice(at, len(values))} | work(values))
                 at += len(values)
+                # Arrow's pool would keep a slice's pages for the worker's whole life, also in later stages
+                pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
