@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import ann, bpe, chat, exact_dedup, html_extract, mixing, quality, simhash, token_files, warc
+from leafmark.llm import ann, bpe, chat, clustering, exact_dedup, html_extract, line_dedup, merkle, mixing, quality, simhash, token_files, warc
 from leafmark.llm.shared import table
 
 
@@ -72,6 +72,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered, paths=False).drop("path").withColumnRenamed("id", "doc_id")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clustering.clusters(table(spark, sf_dir, "embeddings"))
+    told = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", told.alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -133,10 +149,91 @@ SELECT conv_id, count(*) AS n_turns,
 FROM written GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH rows AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT row_no, doc_id, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM rows, unnest(range(1, len(l) + 1)) AS u(i)),
+shared AS (SELECT key, min(doc_id) AS first_id FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 2),
+told AS (SELECT lines.*, shared.key IS NOT NULL AND doc_id IS DISTINCT FROM first_id AS gone FROM lines LEFT JOIN shared USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY row_no, doc_id
+"""
+
+#: CRC-32 of a decimal number's text, bit by bit, then the tree level by level and the paths of all rows.
+OP12_SQL = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, text,
+         [coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+          coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')].array_to_string('') AS head,
+         xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, (x & 1::UBIGINT) * 3988292384::UBIGINT))), 4294967295::UBIGINT) AS crc
+  FROM documents),
+hashed AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown, head FROM fields),
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS grp, leaf, sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS given,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed),
+tree(level, grp, place, node, n) AS (
+  SELECT 0, grp, place, leaf, count(*) OVER (PARTITION BY grp) FROM leaves
+  UNION ALL
+  SELECT level + 1, grp, place // 8, sha256(string_agg(node, '' ORDER BY place)), (max(n) + 7) // 8 FROM tree WHERE n > 1 GROUP BY level, grp, place // 8),
+subroots AS (SELECT grp, level AS top, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1),
+over(level, place, node, n) AS (
+  SELECT 0, place, subroot, n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (max(n) + 7) // 8 FROM over WHERE n > 1 GROUP BY level, place // 8),
+runs AS (
+  SELECT level, grp, place, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lefts, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rights
+  FROM tree WHERE n > 1 WINDOW w AS (PARTITION BY level, grp, place // 8 ORDER BY place)),
+over_runs AS (
+  SELECT level, place, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lefts, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rights
+  FROM over WHERE n > 1 WINDOW w AS (PARTITION BY level, place // 8 ORDER BY place)),
+steps AS (
+  SELECT l.grp, l.place, r.level AS step, r.lefts, r.rights FROM leaves l JOIN runs r ON r.grp = l.grp AND r.place = l.place // (8::BIGINT ** r.level)::BIGINT
+  UNION ALL
+  SELECT l.grp, l.place, s.top + r.level, r.lefts, r.rights FROM leaves l JOIN subroots s ON s.grp = l.grp JOIN over_runs r ON r.place = s.place // (8::BIGINT ** r.level)::BIGINT),
+folds(grp, place, step, node) AS (
+  SELECT grp, place, 0, given FROM leaves
+  UNION ALL
+  SELECT f.grp, f.place, f.step + 1, sha256(s.lefts || f.node || s.rights) FROM folds f JOIN steps s ON s.grp = f.grp AND s.place = f.place AND s.step = f.step),
+proofs AS (SELECT grp, place, sha256(string_agg(lefts || rights, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY grp, place),
+ends AS (SELECT grp, place, arg_max(node, step) AS folded_root FROM folds GROUP BY grp, place),
+root AS (SELECT node AS root FROM over WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.subroot, root.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = root.root AS verified
+FROM leaves l JOIN subroots s ON s.grp = l.grp JOIN ends e ON e.grp = l.grp AND e.place = l.place LEFT JOIN proofs p ON p.grp = l.grp AND p.place = l.place CROSS JOIN root
+"""
+
+
+def _clustering_sql(rounds: int = clustering.ROUNDS, k: int = clustering.CLUSTERS, seed: str = clustering.SEED, dimensions: int = clustering.DIMENSIONS) -> str:
+    """Every pair of vector and centroid, in each round."""
+    held = f"""
+held AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS cluster, v FROM held
+  QUALIFY cluster < {k})"""
+    parts = [held]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT row_no, vec_id, v, cluster, distance FROM (
+    SELECT h.row_no, h.vec_id, h.v, c.cluster, list_sum(list_transform(range(1, {dimensions + 1}), lambda i: (h.v[i] - c.v[i]) * (h.v[i] - c.v[i])))::BIGINT AS distance FROM held h CROSS JOIN c{i} c)
+  QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{i}, unnest(range(1, {dimensions + 1})) AS u(i) GROUP BY cluster, i),
+n{i} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM m{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN n{i} n ON n.cluster = c.cluster)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, a.cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_nearest_neighbours, op4_simhash_dedup, op5_html_extraction, op6_warc, op7_quality, op8_source_mixing, op9_chat_formatting, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_nearest_neighbours, op4_simhash_dedup, op5_html_extraction, op6_warc, op7_quality, op8_source_mixing, op9_chat_formatting, op10_bpe, op11_line_dedup, op12_merkle_manifest, op13_centroid_clustering, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op11_line_dedup": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_centroid_clustering": _clustering_sql()}
