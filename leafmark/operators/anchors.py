@@ -34,7 +34,7 @@ def resolve_ranges(edits: DataFrame, runs: DataFrame, locked: DataFrame) -> Data
     s, e = F.greatest("_s", "md_start"), F.least("_e", "md_end")
     start = F.col("char_offset") + s - F.col("_s")
     triple = F.when(F.col("_s").isNotNull(), F.struct("block_seq", "run_index", start.alias("char_start"), (start + e - s).alias("char_end")))
-    out = met.groupBy("doc_id", "edit_id", "md_start", "md_end").agg(F.array_sort(F.collect_list(triple)).alias("triples"), F.coalesce(F.sum(e - s), F.lit(0)).alias("covered"))
+    out = met.groupBy("doc_id", "edit_id", "md_start", "md_end").agg(F.array_sort(F.collect_list(triple)).alias("triples"), F.coalesce(F.sum(F.when(F.col("_s").isNotNull(), e - s)), F.lit(0)).alias("covered"))
     held = overlapping_locked(edits, locked).select("doc_id", "edit_id", F.lit(True).alias("_held")).distinct()
     error = F.when(F.col("_held"), "locked").when(F.col("covered") < F.col("md_end") - F.col("md_start"), "synthetic")
     return out.join(held, ["doc_id", "edit_id"], "left").withColumn("error", error).drop("_held")

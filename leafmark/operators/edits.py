@@ -89,42 +89,6 @@ def minimal_span(old: Column, new: Column) -> Column:
     return bound(both, lambda t: F.when(t["a"] != t["b"], span(t)))
 
 
-def apply_plan(lines: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """What becomes of each edit line: pass, status, reason and the paragraph's text behind it.
-
-    lines(doc_id, line_no, line); paragraphs(doc_id, anchor, text). Revision verdicts make the second pass. Checks come in
-    order: parse, apply_change false, validation, target, operation.
-    """
-    rows = evaluated(lines)
-    kind = F.lower(trim_ws(F.col("edit.change_type")))
-    rows = rows.withColumn("kind", kind).withColumn("anchor", trim_ws(F.col("edit.bookmark_id"))).join(paragraphs, ["doc_id", "anchor"], "left")
-    old, new = F.col("edit.old_text"), F.col("edit.new_text")
-    at = F.call_function("locate", normalize_punctuation(old), normalize_punctuation(F.col("text")))
-    spliced = F.concat(F.substring(F.col("text"), F.lit(1), at - 1), new, F.substring(F.col("text"), at + F.length(old), F.length("text")))
-    after = F.when(kind == "delete_element", F.lit("")).when((kind == "replace_text") & (old == ""), new).when(kind == "replace_text", spliced).otherwise(F.col("text"))
-    no_op = (kind == "replace_text") & (normalize_punctuation(after) == normalize_punctuation(F.col("text")))
-    why = (
-        F.when(F.col("reason") == "PARSE", "PARSE")
-        .when(~F.coalesce("edit.apply_change", F.lit(True)), "APPLY_FALSE")
-        .when(F.col("reason") != "", F.col("reason"))
-        .when(F.col("text").isNull(), "TARGET_NOT_FOUND")
-        .when((kind == "replace_text") & (old != "") & (at == 0), "OLD_TEXT_NOT_FOUND")
-        .when(no_op, "NO_CHANGE")
-        .otherwise("")
-    )
-    second = F.coalesce(kind.isin("accept_revision", "reject_revision") & (F.col("reason") == ""), F.lit(False))
-    out = rows.withColumn("why", why)
-    return out.select(
-        "doc_id",
-        "line_no",
-        F.when(second, 2).otherwise(1).alias("pass_no"),
-        F.when(F.col("why") == "", "Applied").otherwise("Skipped").alias("status"),
-        "why",
-        "anchor",
-        F.when(F.col("why") == "", after).alias("text_after"),
-    )
-
-
 def apply_summary(plan: DataFrame, comments_total: int) -> DataFrame:
     """Counts per document; comments without a reply from a fixed number of comments."""
     out = plan.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "Applied").alias("applied"), F.count_if(F.col("status") == "Skipped").alias("skipped"), F.count_if(F.col("why") != "PARSE").alias("parsed"), F.count_distinct(F.when(F.startswith("anchor", F.lit("AR_COMMENT_")), F.col("anchor"))).alias("replied"))

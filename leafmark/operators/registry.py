@@ -90,7 +90,7 @@ def attested(text: Column) -> Column:
 
 
 def log_rows(plan: DataFrame, lines: DataFrame, edits: DataFrame, logged_at: Column, confidence: Column) -> DataFrame:
-    """One row per edit line of `edits.apply_plan`: when, line, anchor, change type, status, reason, the line, confidence, pass.
+    """One row per edit line of `apply.apply_plan`: when, line, anchor, change type, status, reason, the line, confidence, pass.
 
     lines(doc_id, line_no, line); edits(doc_id, line_no, edit) as `edits.evaluated` reads them; confidence is the default.
     """

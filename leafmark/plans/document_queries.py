@@ -63,8 +63,9 @@ def docx_inject(spark, sf_dir):
     rows = texts(spark, sf_dir).filter("length(trim(text)) > 0").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.lit("ins").alias("type"), F.lit(None).cast("string").alias("comment_text"), at.alias("targets"))
     edits = rows.select("*", F.lit(1).alias("edit_id"), F.lit(" [checked]").alias("new_text"), F.lit(None).cast("string").alias("whole"))
     edits = edits.unionByName(rows.select("*", F.lit(2).alias("edit_id"), F.lit("checked").alias("new_text"), F.lit("after").alias("whole")))
-    packages = inject.inject(docx.parts(_packages(spark, sf_dir)), edits, "R", "2026-01-02T00:00:00Z")
-    return docx.export(docx.parts(settled(packages))).select("path", "markdown", F.size("blocks").cast("long").alias("blocks"))
+    packages = settled(_packages(spark, sf_dir))
+    edited = inject.inject(docx.parts(packages), edits, "R", "2026-01-02T00:00:00Z", packages)
+    return docx.export(docx.parts(settled(edited))).select("path", "markdown", F.size("blocks").cast("long").alias("blocks"))
 
 
 def docx_parts(spark, sf_dir):

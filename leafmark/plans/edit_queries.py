@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmark.operators import apply as P
 from leafmark.operators import edits as E
 from leafmark.operators import gates as G
 from leafmark.operators import registry as R
@@ -143,7 +144,7 @@ def _apply(spark, sf_dir):
 
 
 def apply_plan(spark, sf_dir):
-    return E.apply_plan(*_apply(spark, sf_dir))
+    return P.apply_plan(*_apply(spark, sf_dir))
 
 
 _APPLY = """
@@ -154,7 +155,7 @@ plan AS (SELECT doc_id, k AS line_no, CASE WHEN k % 6 IN (4, 5) THEN 2 ELSE 1 EN
 
 
 def apply_summary(spark, sf_dir):
-    return E.apply_summary(E.apply_plan(*_apply(spark, sf_dir)), 3)
+    return E.apply_summary(P.apply_plan(*_apply(spark, sf_dir)), 3)
 
 
 def _named(rows):
@@ -164,7 +165,7 @@ def _named(rows):
 def apply_log(spark, sf_dir):
     lines, paragraphs = _apply(spark, sf_dir)
     lines = _named(lines)
-    rows = R.log_rows(E.apply_plan(lines, paragraphs), lines, E.evaluated(lines), F.lit("2026-01-01T00:00:00Z"), F.lit("low"))
+    rows = R.log_rows(P.apply_plan(lines, paragraphs), lines, E.evaluated(lines), F.lit("2026-01-01T00:00:00Z"), F.lit("low"))
     return rows.withColumn("reason", F.col("reason") != "")
 
 
@@ -180,7 +181,7 @@ def apply_trace(spark, sf_dir):
     ids = lines.select("doc_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("doc_id")))
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     runs = ids.select("doc_id", *[F.lit(v).alias(k) for k, v in told.items()], F.concat(name, F.lit(".docx")).alias("SourceDoc"), F.concat(name, F.lit("_w.docx")).alias("WorkingDoc"))
-    return R.trace_rows(runs, E.apply_summary(E.apply_plan(lines, paragraphs), 3), R.line_fingerprints(lines.select("doc_id", "line_no", F.col("line_no").cast("string").alias("line"))))
+    return R.trace_rows(runs, E.apply_summary(P.apply_plan(lines, paragraphs), 3), R.line_fingerprints(lines.select("doc_id", "line_no", F.col("line_no").cast("string").alias("line"))))
 
 
 APPLY_TRACE = """, f AS (SELECT k // 50 AS doc_id, string_agg(k::VARCHAR || chr(10), '' ORDER BY k) AS text FROM p GROUP BY 1),

@@ -45,9 +45,19 @@ def pass_members(spark, sf_dir):
 
 
 def metadata_stripped(spark, sf_dir):
+    """The documents, and every tenth observation three times more: without author and date, with a date, by two authors."""
     rows = observations(spark, sf_dir)
-    one = rows.filter("doc_id = 3").select("doc_order", "kind", F.lit(100).cast("long").alias("doc_id"), F.lit("").alias("author"), F.lit(None).cast("timestamp").alias("date"))
-    return P.stripped_metadata(rows.unionByName(one))
+    tenth = rows.filter("doc_order % 10 = 0").withColumn("case", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    author = F.when((F.col("case") == 3) & (F.col("doc_order") % 20 == 0), F.lit("second")).otherwise("")
+    made = tenth.select((-F.col("case")).cast("long").alias("doc_id"), "doc_order", "kind", author.alias("author"), F.when(F.col("case") == 2, F.lit("2026-01-01").cast("timestamp")).alias("date"))
+    return P.stripped_metadata(rows.unionByName(made))
+
+
+STRIPPED = f"""
+WITH {OBSERVATIONS}, rows AS (
+  SELECT doc_id, author, date FROM observations
+  UNION ALL SELECT -c, CASE WHEN c = 3 AND doc_order % 20 = 0 THEN 'second' ELSE '' END, CASE WHEN c = 2 THEN TIMESTAMP '2026-01-01' END FROM observations, (VALUES (1), (2), (3)) AS v(c) WHERE doc_order % 10 = 0)
+SELECT doc_id, count(DISTINCT CASE WHEN author = '' THEN 'Unknown' ELSE author END) = 1 AND count(date) = 0 AS metadata_stripped FROM rows GROUP BY 1"""
 
 
 def alias_merge(spark, sf_dir):
@@ -216,7 +226,7 @@ QUERIES = {
     "pass_assignment": (pass_assignment, f"WITH {_PASSES} SELECT doc_id, author, doc_order, pass_no FROM assigned"),
     "passes": (passes, PASSES),
     "pass_members": (pass_members, f"WITH {_PASSES} SELECT doc_id, author, pass_no, string_agg(doc_order::VARCHAR, ',' ORDER BY doc_order) AS members FROM assigned GROUP BY ALL"),
-    "metadata_stripped": (metadata_stripped, f"WITH {OBSERVATIONS} SELECT doc_id, count(DISTINCT CASE WHEN author = '' THEN 'Unknown' ELSE author END) = 1 AND count(date) = 0 AS metadata_stripped FROM observations GROUP BY 1 UNION ALL SELECT 100, true"),
+    "metadata_stripped": (metadata_stripped, STRIPPED),
     "alias_merge": (alias_merge, ALIAS_MERGE),
     "author_tally": (author_tally, f"WITH {OBSERVATIONS} SELECT CASE WHEN author = '' THEN 'Unknown' ELSE author END AS author, count(*) AS n FROM observations GROUP BY 1"),
     "author_kind_pivot": (author_kind_pivot, PIVOT),

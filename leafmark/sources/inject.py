@@ -190,13 +190,16 @@ def documents(entries: DataFrame, ops: DataFrame, author: str, date: str) -> Dat
     return own.groupBy("path").cogroup(ops.groupBy("path")).applyInPandas(write, "path string, name string, content binary")
 
 
-def inject(entries: DataFrame, edits: DataFrame, author: str, date: str) -> DataFrame:
+def inject(entries: DataFrame, edits: DataFrame, author: str, date: str, packages: DataFrame | None = None) -> DataFrame:
     """Packages with accepted edits as tracked changes and comments: path, content; packages without edits are left out.
 
-    edits as for `operations`, with comment_text instead of comment_id. The same input gives the same packages.
+    With packages(path, content), whose parts the entries are, parts that don't change keep their compressed bytes. edits as for `operations`, with comment_text instead of comment_id. The same input gives the same packages.
     """
     met = entries.join(edits.select("path").distinct(), "path", "left_semi")
     notes = edits.filter("type = 'comment'").select("path", F.col("edit_id").alias("n"), F.lit(author).alias("author"), F.lit(date).alias("date"), F.col("comment_text").alias("text"), F.lit(None).cast("string").alias("parent_id"))
     numbered = docx.numbered_comments(entries, notes).select("path", F.col("n").alias("edit_id"), "comment_id")
     ops = operations(edits.drop("comment_id").join(numbered, ["path", "edit_id"], "left"))
-    return docx.rewritten(met, documents(met, ops, author, date).unionByName(docx.add_comments(met, notes)))
+    changed = documents(met, ops, author, date).unionByName(docx.add_comments(met, notes))
+    if packages is None:
+        return docx.rewritten(met, changed)
+    return docx.patched(packages.join(edits.select("path").distinct(), "path", "left_semi"), changed)

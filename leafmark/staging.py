@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that spark.checkpoint.dir names; a temporary one only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='leafmark-')}")
-    return df.checkpoint()
+        named = f"file://{tempfile.mkdtemp(prefix='leafmark-')}"
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, as Parquet in the shared folder: readers take the columns and rows that they need, also after losing executors."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

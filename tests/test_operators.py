@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmark.operators import anchors as A
+from leafmark.operators import apply as Y
 from leafmark.operators import blocks as B
 from leafmark.operators import edits as E
 from leafmark.operators import gates as G
@@ -93,8 +94,16 @@ def test_apply_order_and_cascade(spark):
     ]
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate(lines)], "doc_id long, line_no long, line string")
     paragraphs = spark.createDataFrame([(1, "P1", "x a - b y")], "doc_id long, anchor string, text string")
-    got = [(r.pass_no, r.status, r.why, r.text_after) for r in E.apply_plan(df, paragraphs).orderBy("line_no").collect()]
-    assert got == [(1, "Applied", "", "x c y"), (1, "Skipped", "APPLY_FALSE", None), (1, "Skipped", "TARGET_NOT_FOUND", None), (2, "Applied", "", "x a - b y"), (1, "Skipped", "PARSE", None)]
+    got = [(r.pass_no, r.status, r.why, r.text_after) for r in Y.apply_plan(df, paragraphs).orderBy("line_no").collect()]
+    assert got == [(1, "Applied", "", "x c y"), (1, "Skipped", "APPLY_FALSE", None), (1, "Skipped", "TARGET_NOT_FOUND", None), (2, "Applied", "", "x c y"), (1, "Skipped", "PARSE", None)]
+
+
+def test_an_edit_that_meets_no_run_is_uncovered(spark):
+    edits = spark.createDataFrame([(1, 0, 2, 4), (1, 1, 8, 9), (2, 0, 0, 3)], "doc_id long, edit_id int, md_start int, md_end int")
+    runs = spark.createDataFrame([(1, 0, 0, 0, 5, 0)], "doc_id long, block_seq int, run_index int, md_start int, md_end int, char_offset int")
+    none = spark.createDataFrame([], "doc_id long, s int, e int")
+    got = {(r.doc_id, r.edit_id): (r.covered, r.error, len(r.triples)) for r in A.resolve_ranges(edits, runs, none).collect()}
+    assert got == {(1, 0): (2, None, 1), (1, 1): (0, "synthetic", 0), (2, 0): (0, "synthetic", 0)}
 
 
 def test_splice_equals_right_to_left(spark):
@@ -190,5 +199,5 @@ def test_the_first_failing_chunk_stops(spark):
 
 def test_authors_are_read_back(spark):
     runs = spark.createDataFrame([(1, True), (2, True), (3, False)], "doc_id long, text_edited boolean")
-    seen = R.read_back(runs, spark.createDataFrame([(1, "AUTOREVIEWER"), (1, "autoreviewer"), (2, "Me"), (3, "AutoReviewer")], "doc_id long, author string"), "AutoReviewer")
+    seen = R.read_back(runs, spark.createDataFrame([(1, "LEAFMARK"), (1, "leafmark"), (2, "Me"), (3, "Leafmark")], "doc_id long, author string"), "Leafmark")
     assert {r.doc_id: r.author_seen for r in seen.collect()} == {1: True, 2: False, 3: None}
