@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafmark.plans import apply_queries, chunk_queries, document_queries, edit_queries, markup_queries, package_queries, review_queries, text_queries
+from leafmark.plans import apply_queries, chunk_queries, document_queries, edit_queries, markup_queries, package_queries, review_queries, section_queries, text_queries, tool_queries
 
-FAMILIES = (text_queries, review_queries, edit_queries, markup_queries, document_queries, package_queries, apply_queries, chunk_queries)
+FAMILIES = (text_queries, review_queries, edit_queries, markup_queries, document_queries, package_queries, apply_queries, chunk_queries, section_queries, tool_queries)
 
 
 def queries() -> dict:

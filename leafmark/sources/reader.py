@@ -1,7 +1,7 @@
 """Spark data sources of the review pipeline: packages as tables, and one file per reviewer pass.
 
 `spark.read.format("docx").option("table", "segments").load(folder)` reads the tables of `docx` straight from packages:
-parts (the default), segments, comments, comment_paragraphs, comment_extensions. Files are dealt to partitions by bytes and a task
+parts (the default), segments, comments, comment_paragraphs, comment_extensions, footnotes. Files are dealt to partitions by bytes and a task
 inflates only the parts that its table needs. The options pathGlobFilter and names (of files, separated by line feeds) choose
 packages before any is opened. Filters on `path` are Spark's own work: Spark 4.1 keeps the partitions of the first filter that
 a Python source takes for every later scan of the same frame, which then lacks rows.
