@@ -153,6 +153,11 @@ MESSAGES = {
     "REVISION_REQUIRES_RANGE_TARGET": "A verdict on a revision can't target a comment.",
     "FOOTNOTE_REQUIRES_TEXT": "A footnote needs its text.",
     "FOOTNOTE_REQUIRES_RANGE_TARGET": "A footnote must target text, not a comment.",
+    "APPLY_FALSE": "The edit is marked as not to be applied.",
+    "TARGET_NOT_FOUND": "The document has no such target.",
+    "OLD_TEXT_NOT_FOUND": "The target doesn't hold the old text.",
+    "NO_CHANGE": "The new text is what stands there.",
+    "NO_REVISIONS": "The target holds no tracked changes.",
     "NO_EXPORT_TOKEN": "No export is recorded: export the document first.",
     "NO_PAYLOAD": "Nothing was pasted.",
     "META_MISSING": "The first line is not the meta line.",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmark.functions import jsonl as J
 from leafmark.operators import apply as P
 from leafmark.operators import edits as E
 from leafmark.operators import gates as G
@@ -13,6 +14,7 @@ from leafmark.plans.inputs import table, texts
 from leafmark.plans.text_queries import _fingerprint_sql_of
 
 TAG = "review"
+_QUOTED = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
 def _payload(spark, sf_dir):
@@ -83,6 +85,13 @@ def jsonl_evaluate(spark, sf_dir):
 EVALUATE = "SELECT o_orderkey AS line_no, [" + ", ".join(f"'{r}'" for _, r in _SHAPES) + f"][o_orderkey % {len(_SHAPES)} + 1] AS reason FROM orders"
 
 
+def edit_messages(spark, sf_dir):
+    """What the operator is told of each line's reason, and of each document's session."""
+    lines = E.evaluated(_edit_lines(spark, sf_dir)).select("line_no", J.message_of(F.col("reason")).alias("message"))
+    sessions = session_gate(spark, sf_dir).select((-1 - F.col("doc_id")).alias("line_no"), J.message_of(F.col("code")).alias("message"))
+    return lines.unionByName(sessions)
+
+
 def jsonl_fields(spark, sf_dir):
     return E.evaluated(_edit_lines(spark, sf_dir)).select("line_no", "edit.*")
 
@@ -165,13 +174,13 @@ def _named(rows):
 def apply_log(spark, sf_dir):
     lines, paragraphs = _apply(spark, sf_dir)
     lines = _named(lines)
-    rows = R.log_rows(P.apply_plan(lines, paragraphs), lines, E.evaluated(lines), F.lit("2026-01-01T00:00:00Z"), F.lit("low"))
-    return rows.withColumn("reason", F.col("reason") != "")
+    return R.log_rows(P.apply_plan(lines, paragraphs), lines, E.evaluated(lines), F.lit("2026-01-01T00:00:00Z"), F.lit("low"))
 
 
-APPLY_LOG = """ SELECT plan.doc_id, '2026-01-01T00:00:00Z' AS logged_at, line_no, plan.anchor AS bookmark_id, CASE k % 6 WHEN 0 THEN 'delete_element' WHEN 4 THEN 'accept_revision' WHEN 5 THEN 'accept_revision' ELSE 'replace_text' END AS change_type, status, status = 'Skipped' AS reason,
+_TOLD = "MAP {" + ", ".join(f"'{k}': {_QUOTED(v)}" for k, v in J.MESSAGES.items()) + "}"
+APPLY_LOG = f""", told AS (SELECT {_TOLD} AS m)""" + """ SELECT plan.doc_id, '2026-01-01T00:00:00Z' AS logged_at, line_no, plan.anchor AS bookmark_id, CASE k % 6 WHEN 0 THEN 'delete_element' WHEN 4 THEN 'accept_revision' WHEN 5 THEN 'accept_revision' ELSE 'replace_text' END AS change_type, status, CASE WHEN status = 'Skipped' THEN m[why] ELSE '' END AS reason,
   '{"bookmark_id":"' || plan.anchor || '","change_type":' || CASE k % 6 WHEN 0 THEN '"delete_element"' WHEN 1 THEN '"replace_text","old_text":"' || string_split(p_name, ' ')[1] || '","new_text":"new"' WHEN 2 THEN '"replace_text","old_text":"- Brand","new_text":"+ Brand"'
-  WHEN 3 THEN '"replace_text","old_text":"absent","new_text":"x"' WHEN 4 THEN '"accept_revision","apply_change":false' ELSE '"accept_revision"' END || ',"confidence":"hi"}' AS line, 'Low' AS confidence, pass_no FROM plan JOIN p ON p.k = plan.line_no"""
+  WHEN 3 THEN '"replace_text","old_text":"absent","new_text":"x"' WHEN 4 THEN '"accept_revision","apply_change":false' ELSE '"accept_revision"' END || ',"confidence":"hi"}' AS line, 'Low' AS confidence, pass_no FROM plan JOIN p ON p.k = plan.line_no CROSS JOIN told"""
 
 
 def apply_trace(spark, sf_dir):
@@ -204,6 +213,17 @@ def author_read_back(spark, sf_dir):
 READ_BACK = "SELECT o_custkey AS doc_id, count(*) > 3 AS text_edited, CASE WHEN count(*) > 3 THEN bool_or(lower(o_orderpriority) = '1-urgent') END AS author_seen FROM orders GROUP BY 1"
 
 
+def session_records(spark, sf_dir):
+    """Sessions of all documents written as JSON and resumed: two decisions in every third document, none elsewhere."""
+    rows = texts(spark, sf_dir)
+    docs = rows.select("doc_id", F.lit("RATIFYING").alias("state"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("filename"), F.col("text").cast("binary").alias("content"), F.col("text").alias("response"), F.sha2("text", 256).alias("verdict"))
+    made = F.explode(F.array(*[F.struct(F.lit(i).alias("edit_id"), F.lit(d).alias("decision"), F.lit(r).alias("reviewed")) for i, d, r in ((2, "reject", False), (1, "accept", True))]))
+    decisions = rows.filter("doc_id % 3 = 0").select("doc_id", made.alias("x")).select("doc_id", "x.*")
+    back = R.resume(R.session_record(docs, decisions, "1"), docs, "1")
+    told = F.array_join(F.transform("decisions", lambda x: F.concat_ws(" ", x["edit_id"].cast("string"), x["decision"], x["reviewed"].cast("string"))), ",")
+    return back.select("doc_id", "version", "state", "filename", F.col("content").cast("string").alias("content"), "response", "verdict", F.coalesce(told, F.lit("")).alias("decisions"))
+
+
 def chunk_verdicts(spark, sf_dir):
     """Orders as documents, lines as chunks: one returned fails phase one; edits of late lines fail phase two."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("chunk_index"), "l_returnflag", "l_linestatus")
@@ -229,7 +249,6 @@ def repair_messages(spark, sf_dir):
     return N.repair_messages(rows).select("doc_id", "repair")
 
 
-_QUOTED = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 REPAIRS = f"""
 WITH d AS (SELECT doc_id, doc_id % 5 AS k, coalesce(text, '') AS t, length(coalesce(text, '')) // 2 AS m FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN {_QUOTED(N.AFRESH)} ELSE '' END || 'wrong' || CASE WHEN k = 0 THEN '' WHEN k = 2 THEN chr(10) || 'It differs from place ' || m || ' on.' || chr(10) || 'You wrote: "' || substr(t, 1, 9) || '"' || chr(10) || 'Expected: "other"'
@@ -284,6 +303,7 @@ QUERIES = {
     "payload_filter": (payload_filter, PAYLOAD),
     "session_gate": (session_gate, SESSION),
     "jsonl_evaluate": (jsonl_evaluate, EVALUATE),
+    "edit_messages": (edit_messages, f"WITH told AS (SELECT {_TOLD} AS m), e AS ({EVALUATE}), s AS ({SESSION}) SELECT line_no, m[reason] AS message FROM e, told UNION ALL SELECT -1 - doc_id, m[code] FROM s, told"),
     "jsonl_fields": (jsonl_fields, FIELDS),
     "comment_coverage": (comment_coverage, COVERAGE),
     "anchor_reconcile": (anchor_reconcile, RECONCILE),
@@ -291,6 +311,7 @@ QUERIES = {
     "apply_log": (apply_log, _APPLY + APPLY_LOG),
     "apply_trace": (apply_trace, _APPLY + APPLY_TRACE),
     "author_read_back": (author_read_back, READ_BACK),
+    "session_records": (session_records, "SELECT doc_id, '1' AS version, 'RATIFYING' AS state, 'd' || doc_id || '.docx' AS filename, coalesce(text, '') AS content, coalesce(text, '') AS response, sha256(coalesce(text, '')) AS verdict, CASE WHEN doc_id % 3 = 0 THEN '1 accept true,2 reject false' ELSE '' END AS decisions FROM documents"),
     "chunk_verdicts": (chunk_verdicts, CHUNK_VERDICTS),
     "attested_exports": (attested_exports, f"SELECT doc_id, '<<PAYLOAD_FINGERPRINT: ' || fingerprint || '>>' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(text, '') AS text FROM documents JOIN ({_fingerprint_sql_of('text', 'documents', 'doc_id')}) USING (doc_id)"),
     "repair_messages": (repair_messages, REPAIRS),

@@ -229,6 +229,30 @@ def word_diff(spark, sf_dir):
     return rows.select("doc_id", (side("del") == F.col("text")).alias("old_back"), (side("add") == F.col("new")).alias("new_back"))
 
 
+def word_diff_segments(spark, sf_dir):
+    """Each text's numbered words, of fifty words one replaced, one dropped and one put in, and the last replaced: all segments."""
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), lambda w, i: F.concat(w, F.lit("_"), i.cast("string")))
+    new = lambda w, i: F.when(i % 50 == 10, F.array(F.concat(F.lit("new_"), i.cast("string")))).when(i % 50 == 20, F.array().cast("array<string>")).when(i % 50 == 30, F.array(F.concat(F.lit("ins_"), i.cast("string")), w)).otherwise(F.array(w))
+    joined = lambda ws, last: F.array_join(F.concat(ws, F.array(F.lit(last), F.lit("end"))), " ")
+    rows = texts(spark, sf_dir).select("doc_id", joined(words, "old").alias("old"), joined(F.flatten(F.transform(words, new)), "new").alias("new"))
+    return rows.select("doc_id", F.array_join(F.transform(diff_words(F.col("old"), F.col("new")), lambda s: F.concat(s["type"], F.lit(":"), s["text"])), "|").alias("segments"))
+
+
+SEGMENTS = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, i, w[i + 1] || '_' || i AS w FROM t, unnest(range(0, len(w))) AS u(i)),
+pieces AS (
+  SELECT doc_id, i, 0 AS k, CASE WHEN i % 50 IN (10, 20) THEN 'del' WHEN i % 50 = 30 THEN 'add' ELSE 'same' END AS type, CASE i % 50 WHEN 10 THEN w WHEN 30 THEN 'ins_' || i || ' ' ELSE w || ' ' END AS s FROM words
+  UNION ALL SELECT doc_id, i, 1, CASE i % 50 WHEN 10 THEN 'add' ELSE 'same' END, CASE i % 50 WHEN 10 THEN 'new_' || i ELSE w || ' ' END FROM words WHERE i % 50 IN (10, 30)
+  UNION ALL SELECT doc_id, i, 2, 'same', ' ' FROM words WHERE i % 50 = 10
+  UNION ALL SELECT doc_id, len(w), k, type, s FROM t, (VALUES (0, 'del', 'old'), (1, 'add', 'new'), (2, 'same', ' end')) AS v(k, type, s)),
+marked AS (SELECT *, CASE WHEN lag(type) OVER o = type THEN 0 ELSE 1 END AS fresh FROM pieces WINDOW o AS (PARTITION BY doc_id ORDER BY i, k)),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i, k) AS g FROM marked),
+runs AS (SELECT doc_id, g, any_value(type) || ':' || string_agg(s, '' ORDER BY i, k) AS s FROM islands GROUP BY ALL),
+sizes AS (SELECT doc_id, 2 * (n - least(n, 10)) + 1 AS x, 2 * (n - (n + 29) // 50 + (n + 19) // 50 - least(n, 10)) + 1 AS y FROM (SELECT doc_id, len(w) AS n FROM t))
+SELECT doc_id, CASE WHEN any_value(x * y) <= 4000000 THEN string_agg(s, '|' ORDER BY g) END AS segments FROM runs JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+
 def envelope_candidates(spark, sf_dir):
     k = F.col("doc_id") % 3
     fence = lambda s: F.concat(F.lit("```md\n"), s, F.lit("```\n"))
@@ -312,6 +336,7 @@ QUERIES = {
     "boundary_resolve": (boundary_resolve, BOUNDARIES),
     "block_cross": (block_cross, CROSS),
     "first_divergence": (first_divergence, DIVERGENCE),
+    "word_diff_segments": (word_diff_segments, SEGMENTS),
     "word_diff": (word_diff, "SELECT doc_id, true AS old_back, true AS new_back FROM documents"),
     "envelope_candidates": (envelope_candidates, ENVELOPE),
     "config_upsert": (config_upsert, UPSERT),

@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from leafmark.operators import sections as S
 from leafmark.plans.inputs import LINES, texts
@@ -26,7 +27,7 @@ def _noted(text: str) -> bytes:
             body.append(f'<w:p>{_run(line)}<w:r><w:footnoteReference w:id="{n}"/></w:r></w:p>')
             feet.append(f'<w:footnote w:id="{n}"><w:p>{_run(f"note {n}" if n % 12 == 0 else " ")}</w:p></w:footnote>')
         elif kind == 1:
-            body.append(f'<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr>{_run(line)}</w:p>')
+            body.append(f'<w:p><w:pPr><w:pStyle w:val="Heading2"/><w:pPrChange/></w:pPr>{_run(line)}</w:p>')
         elif kind == 2:
             body.append(f"<w:p><w:pPr><w:numPr/></w:pPr>{_run(line)}</w:p>")
         elif kind == 3:
@@ -45,12 +46,16 @@ def _noted(text: str) -> bytes:
     return out.getvalue()
 
 
-def _tables(spark, sf_dir):
+def _noted_packages(spark, sf_dir):
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"path": [f"/in/{i}.docx" for i in pdf["doc_id"]], "content": [_noted(t) for t in pdf["text"]]})
 
-    entries = settled(docx.parts(texts(spark, sf_dir).mapInPandas(build, "path string, content binary")))
+    return texts(spark, sf_dir).mapInPandas(build, "path string, content binary")
+
+
+def _tables(spark, sf_dir):
+    entries = settled(docx.parts(_noted_packages(spark, sf_dir)))
     return settled(docx.segments(entries)), docx.comments(entries), settled(docx.footnotes(entries))
 
 
@@ -63,6 +68,24 @@ def export_sections(spark, sf_dir):
     return S.export_sections(*_tables(spark, sf_dir))
 
 
+def format_changes(spark, sf_dir):
+    """Tracked changes of formatting per package."""
+    return _tables(spark, sf_dir)[0].groupBy("path").agg(F.sum("format_changes").alias("format_changes"))
+
+
+def comments_added(spark, sf_dir):
+    """Every package gets a comment and a reply to it, behind those that it has; what a reader finds then."""
+    entries = settled(docx.parts(_noted_packages(spark, sf_dir)))
+    paths = entries.select("path").distinct()
+    last = F.coalesce(F.max(F.col("comment_id").cast("int")), F.lit(-1)) + 1
+    first = paths.join(docx.comments(entries).select("path", "comment_id"), "path", "left").groupBy("path").agg(last.cast("string").alias("_id"))
+    told = F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit("please <check> & reply").alias("text"), F.lit(None).cast("string").alias("parent_id")), F.struct(F.lit(2).alias("n"), F.lit("done").alias("text"), F.col("_id").alias("parent_id"))))
+    new = first.select("path", told.alias("x")).select("path", "x.n", F.lit("R").alias("author"), F.lit(SECOND).alias("date"), "x.text", "x.parent_id")
+    changed = settled(docx.add_comments(entries, settled(new)))
+    after = docx.parts(docx.patched(_noted_packages(spark, sf_dir), changed))
+    return docx.comments(after).select("path", "comment_id", "author", "text", "parent_id")
+
+
 _CLEAN = f"trim(regexp_replace(translate({_PLAIN.format('text')}, chr(13) || chr(10), '  '), ' {{2,}}', ' ', 'g'))"
 _N = "chr(13) || chr(10)"
 _BASE = f"""
@@ -103,7 +126,15 @@ _SECTIONS = " UNION ALL ".join(
     ]
 )
 
+_ADDED = f"""
+WITH {LINES}, had AS (SELECT doc_id, line_no FROM lines WHERE line_no % 6 = 5), l AS (SELECT d.doc_id, coalesce(max(line_no), -1) AS n FROM documents d LEFT JOIN had ON had.doc_id = d.doc_id GROUP BY 1)
+SELECT '/in/' || doc_id || '.docx' AS path, line_no::VARCHAR AS comment_id, 'C' AS author, 'why  ' || line_no AS text, NULL AS parent_id FROM had
+UNION ALL SELECT '/in/' || doc_id || '.docx', (n + 1)::VARCHAR, 'R', 'please <check> & reply', NULL FROM l
+UNION ALL SELECT '/in/' || doc_id || '.docx', (n + 2)::VARCHAR, 'R', 'done', (n + 1)::VARCHAR FROM l"""
+
 QUERIES = {
+    "format_changes": (format_changes, f"WITH {LINES} SELECT '/in/' || doc_id || '.docx' AS path, count(*) FILTER (line_no % 6 = 1) AS format_changes FROM lines GROUP BY doc_id"),
+    "comments_added": (comments_added, _ADDED),
     "package_anchors": (package_anchors, _BASE + " SELECT path, anchor, type, text FROM anchors"),
     "export_sections": (export_sections, _BASE + f", d AS (SELECT '/in/' || doc_id || '.docx' AS path FROM documents) {_SECTIONS}"),
 }

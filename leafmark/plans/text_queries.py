@@ -189,6 +189,13 @@ def part_checksums(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.crc32(F.coalesce("html", F.lit(""))).alias("crc32"))
 
 
+#: CRC-32 byte by byte, with a table made from its polynomial.
+CHECKSUMS = """
+WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, (x & 1::UBIGINT) * 3988292384::UBIGINT))) AS t),
+bytes AS (SELECT page_id, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || h[2 * i - 1:2 * i])::UBIGINT) AS b FROM (SELECT page_id, hex(encode(coalesce(html, ''))) AS h FROM pages))
+SELECT page_id, xor(list_reduce([4294967295::UBIGINT] || b, lambda c, x: xor(t[(xor(c, x) & 255::UBIGINT)::INTEGER + 1], c >> 8)), 4294967295::UBIGINT)::BIGINT AS crc32 FROM bytes, steps"""
+
+
 QUERIES = {
     "fingerprint_documents": (fingerprint_documents, _fingerprint_sql_of("text", "documents", "doc_id")),
     "fingerprint_names": (fingerprint_names, _fingerprint_sql_of("c_name", "customer", "c_custkey")),
@@ -207,5 +214,5 @@ QUERIES = {
     "emphasis_marks": (emphasis_marks, EMPHASIS),
     "anchor_classes": (anchor_classes, ANCHOR_CLASSES),
     "audit_hashes": (audit_hashes, "SELECT doc_id, 'sha256-' || sha256(coalesce(text, '')) AS source_sha256 FROM documents"),
-    "part_checksums": (part_checksums, None),
+    "part_checksums": (part_checksums, CHECKSUMS),
 }
