@@ -1,11 +1,12 @@
 """Centroid clustering in exact integers, with block-norm screening.
 
-Vectors become integers floor(scale * x) once and are stored beside the norms of their segments, taken around a fixed centre.
-By Cauchy-Schwarz the sum over segments of (|v_s| - |c_s|)**2 is at most the squared distance, so from these compressed
-vectors and centroids each pair gets a lower bound; the centroid of least bound gets the exact distance first, and then only
-centroids whose bound doesn't exceed it. Bounds are floats and lowered by their rounding error; distances are
-integers. A round is one pass over the stored table: every task returns a count and sums per cluster, which Spark adds up; the
-driver holds k centroids, nothing else.
+Vectors become integers floor(scale * x) once. Around a fixed centre each is stored compressed too: its components in eight bits
+of a step of its own, the norms of its segments' remainders, and its square. With w = code + rest and a centroid d, the squared
+distance is |w|**2 + |d|**2 - 2 code.d - 2 rest.d, and by Cauchy-Schwarz rest.d is at most the sum over segments of |rest_s||d_s|:
+compressed vectors and centroids give every pair a lower bound by one matrix product. The centroid of least bound gets the exact
+distance first, and then only centroids whose bound doesn't exceed it. Bounds are floats and lowered by their rounding error;
+distances are integers. A round is one pass over the stored table: every task returns a count and sums per cluster, which Spark
+adds up; the driver holds k centroids, nothing else.
 
 Defined results: vectors that are null, of another length, or that hold null or non-finite components take no part, nor do
 vectors with a component beyond 2**27 after scaling, whose distances a long can't hold; fewer than k vectors are that many
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from leafmark.llm.shared import staged
 
 DIMENSIONS, CLUSTERS, ROUNDS, SEED, SCALE = 64, 40, 5, "2", 256
-SEGMENT = 4
+SEGMENT, CODE = 8, 127
 LARGEST = 1 << 27
 #: Vectors that meet the centroids at once, and pairs whose exact distances are taken at once.
 SLICE, PAIRS = 4096, 1 << 15
@@ -46,14 +47,31 @@ def matrix(column: pa.Array, dimensions: int, kind: type) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dimensions).astype(kind)
 
 
-def norms(vectors: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """Lengths of the segments of vectors around the centre; the squares are exact integers."""
-    moved = vectors - centre
-    short = -moved.shape[1] % SEGMENT
-    blocks = np.pad(moved, ((0, 0), (0, short))).reshape(len(moved), -1, SEGMENT)
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of the vectors' segments."""
+    short = -vectors.shape[1] % SEGMENT
+    blocks = np.pad(vectors, ((0, 0), (0, short))).reshape(len(vectors), -1, SEGMENT)
     return np.sqrt((blocks * blocks).sum(axis=2).astype(np.float64))
 
 
+@dataclass(frozen=True)
+class Compressed:
+    """Codes (eight bits a component), steps, squares of whole vectors and norms of the segments of what the codes leave."""
+
+    codes: np.ndarray
+    steps: np.ndarray
+    squares: np.ndarray
+    rests: np.ndarray
+
+
+def compressed(moved: np.ndarray) -> Compressed:
+    """The compressed form of vectors around the centre; a step is the power of two that brings a vector into its codes."""
+    highest = np.abs(moved).max(axis=1, initial=0)
+    steps = np.int64(1) << np.maximum(0, np.ceil(np.log2(np.maximum(highest, 1) / CODE))).astype(np.int64)
+    codes = np.rint(moved / steps[:, None]).astype(np.int64)
+    return Compressed(codes.astype(np.int8), steps, (moved * moved).sum(axis=1), norms(moved - codes * steps[:, None]))
+
+
 def distances(vectors: np.ndarray, centroids: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
     out = np.empty(len(row), dtype=np.int64)
     for a in range(0, len(row), PAIRS):
@@ -62,15 +80,16 @@ def distances(vectors: np.ndarray, centroids: np.ndarray, row: np.ndarray, colum
     return out
 
 
-def bounds(lengths: np.ndarray, centroid_lengths: np.ndarray) -> np.ndarray:
-    """A lower bound of every squared distance, lowered by more than its rounding error."""
-    squares, others = (lengths**2).sum(axis=1)[:, None], (centroid_lengths**2).sum(axis=1)[None, :]
-    return squares + others - 2 * (lengths @ centroid_lengths.T) - (squares + others) * 1e-12 - 1
+def bounds(held: Compressed, moved: np.ndarray) -> np.ndarray:
+    """A lower bound of every squared distance to centroids around the centre, lowered by more than its rounding error."""
+    near = (held.codes * held.steps[:, None].astype(np.float64)) @ moved.T.astype(np.float64)
+    size = held.squares[:, None] + (moved * moved).sum(axis=1)[None, :].astype(np.float64)
+    return size - 2 * (near + held.rests @ norms(moved).T) - size * 1e-11 - 1
 
 
-def nearest(vectors: np.ndarray, lengths: np.ndarray, centroids: np.ndarray, centroid_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def nearest(vectors: np.ndarray, held: Compressed, centroids: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Each vector's nearest centroid (ties: the smaller number), its squared distance, and how many pairs were measured."""
-    least = bounds(lengths, centroid_lengths)
+    least = bounds(held, centroids - centre)
     every = np.arange(len(vectors))
     first = least.argmin(axis=1)
     reached = distances(vectors, centroids, every, first)
@@ -87,17 +106,19 @@ def nearest(vectors: np.ndarray, lengths: np.ndarray, centroids: np.ndarray, cen
 
 @dataclass(frozen=True)
 class Centroids:
-    """The centroids, and the fixed centre around which segment norms are taken."""
+    """The centroids, and the fixed centre around which vectors are compressed."""
 
     values: np.ndarray
     centre: np.ndarray
 
     def assign(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-        own = norms(self.values, self.centre)
+        dimensions, segments = self.values.shape[1], -(-self.values.shape[1] // SEGMENT)
         for a in range(0, batch.num_rows, SLICE):
             part = batch.slice(a, SLICE)
-            vectors = matrix(part.column("whole"), self.values.shape[1], np.int64)
-            cluster, distance, _ = nearest(vectors, matrix(part.column("norms"), own.shape[1], np.float64), self.values, own)
+            vectors = matrix(part.column("whole"), dimensions, np.int64)
+            codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), dtype=np.int8).reshape(-1, dimensions)
+            held = Compressed(codes, part.column("step").to_numpy(), part.column("square").to_numpy(), matrix(part.column("rests"), segments, np.float64))
+            cluster, distance, _ = nearest(vectors, held, self.values, self.centre)
             yield part, vectors, cluster, distance
 
 
@@ -108,17 +129,19 @@ def first_centroids(vectors: DataFrame, k: int, seed: str) -> np.ndarray:
     return np.array([r["whole"] for r in rows], dtype=np.int64)
 
 
-def with_norms(vectors: DataFrame, centre: np.ndarray) -> DataFrame:
-    dimensions = len(centre)
+def with_codes(vectors: DataFrame, centre: np.ndarray) -> DataFrame:
+    """vectors(id, whole) beside their compressed form."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = norms(matrix(batch.column("whole"), dimensions, np.int64), centre)
-            width = lengths.shape[1]
-            held = pa.ListArray.from_arrays(np.arange(0, lengths.size + 1, width, dtype=np.int32), pa.array(lengths.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, held], [*batch.schema.names, "norms"])
+            for a in range(0, batch.num_rows, SLICE):
+                part = batch.slice(a, SLICE)
+                held = compressed(matrix(part.column("whole"), len(centre), np.int64) - centre)
+                rests = pa.ListArray.from_arrays(np.arange(0, held.rests.size + 1, held.rests.shape[1], dtype=np.int32), pa.array(held.rests.ravel()))
+                columns = [pa.array([c.tobytes() for c in held.codes], pa.binary()), pa.array(held.steps), pa.array(held.squares), rests]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "codes", "step", "square", "rests"])
 
-    return vectors.mapInArrow(add, "id long, whole array<int>, norms array<double>")
+    return vectors.mapInArrow(add, "id long, whole array<int>, codes binary, step long, square long, rests array<double>")
 
 
 def moved(vectors: DataFrame, now: Centroids) -> np.ndarray:
@@ -150,7 +173,7 @@ def clusters(rows: DataFrame, id_col: str = "vec_id", embedding_col: str = "embe
     if not len(values):
         return spark.createDataFrame([], "id long, cluster int, distance long, cluster_inertia long, inertia long, centroid array<long>")
     centre = values.sum(axis=0) // len(values)
-    held = staged(with_norms(vectors, centre), "cluster-vectors")
+    held = staged(with_codes(vectors, centre), "cluster-vectors")
     for _ in range(rounds):
         values = moved(held, Centroids(values, centre))
     last = Centroids(values, centre)
