@@ -4,7 +4,7 @@ Normalised lines are exploded and hashed (128 bits of SHA-256), the distinct doc
 the threshold go, except in the document with the smallest id, and the others are put together again by position. Only hashes,
 ids and positions are exploded and grouped; a text is shuffled once, whole, to meet the positions that it loses. Counting is by
 (hash, id) first, so a line that a third of all documents share is one row per task when it reaches its hash; occurrences
-meet the counts by a plain equality, whose skewed partitions adaptive execution splits.
+meet the written table of shared lines by a plain equality, whose skewed partitions adaptive execution splits.
 
 Defined results: null and empty texts are one empty line; keys shorter than `min_chars` code points are never dropped; a
 document is an id, so rows that repeat an id count once and lose the same lines, and rows without an id are one document,
@@ -19,6 +19,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmark.llm.shared import staged
+
 WHITE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 10, 2
 NEW = ("n_lines", "n_dropped")
@@ -48,7 +50,8 @@ def dropped(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
     """The positions that rows(id, part, text) lose: id, part, drops (distinct positions, in any order)."""
     all_lines = occurrences(rows, min_chars)
     counted = all_lines.groupBy("hash").agg((F.count_distinct("id") + F.max(F.col("id").isNull().cast("long"))).alias("docs"), F.min("id").alias("first"))
-    shared = counted.filter(F.col("docs") >= min_docs).select("hash", "first")
+    # written first: behind an aggregation the join's side wouldn't be a plain exchange, and a hot line's partition not split
+    shared = staged(counted.filter(F.col("docs") >= min_docs).select("hash", "first"), "shared-lines")
     gone = all_lines.join(shared, "hash").filter(~F.col("id").eqNullSafe(F.col("first")))
     return gone.groupBy("id", "part").agg(F.collect_set("at").alias("drops"))
 
