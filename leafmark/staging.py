@@ -19,6 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of rows that a Python worker gets at once, where the session doesn't say: Spark's own 64 MB stand in both processes.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of bounded bytes, whatever the tables' sizes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once, as Parquet in the shared folder: readers take the columns and rows that they need, also after losing executors."""
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"

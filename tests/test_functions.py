@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,17 @@ def test_minimal_span(spark):
 
 def test_every_reason_has_a_message(spark):
     assert all(one(spark, J.message_of(F.col("s")), s=code) == text for code, text in list(J.MESSAGES.items())[::5]) and one(spark, J.message_of(F.col("s")), s="") is None
+
+
+def test_rows_reach_python_in_batches_of_bounded_bytes(spark, tmp_path):
+    from leafmark.plans.inputs import texts
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(300).selectExpr("id AS doc_id", "repeat(sha2(cast(id AS string), 256), 1600) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.nbytes], pa.int64())})
+
+    found = [r.n for r in texts(spark, str(tmp_path)).mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 300 * 64 * 1600 and max(found) < 8 << 20
