@@ -41,7 +41,7 @@ def _packages(spark, sf_dir):
 
 
 def docx_export(spark, sf_dir):
-    return docx.export(docx.parts(_packages(spark, sf_dir))).select("path", "markdown", F.size("blocks").cast("long").alias("blocks"))
+    return docx.export(settled(_packages(spark, sf_dir))).select("path", "markdown", F.size("blocks").cast("long").alias("blocks"))
 
 
 def _exported(first: str = "line", more: str = "", added: int = 0) -> str:
@@ -65,7 +65,7 @@ def docx_inject(spark, sf_dir):
     edits = edits.unionByName(rows.select("*", F.lit(2).alias("edit_id"), F.lit("checked").alias("new_text"), F.lit("after").alias("whole")))
     packages = settled(_packages(spark, sf_dir))
     edited = inject.inject(docx.parts(packages), edits, "R", "2026-01-02T00:00:00Z", packages)
-    return docx.export(docx.parts(settled(edited))).select("path", "markdown", F.size("blocks").cast("long").alias("blocks"))
+    return docx.export(settled(edited)).select("path", "markdown", F.size("blocks").cast("long").alias("blocks"))
 
 
 def docx_parts(spark, sf_dir):

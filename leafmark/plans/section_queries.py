@@ -55,7 +55,7 @@ def _noted_packages(spark, sf_dir):
 
 
 def _tables(spark, sf_dir):
-    entries = settled(docx.parts(_noted_packages(spark, sf_dir)))
+    entries = settled(_noted_packages(spark, sf_dir))
     return settled(docx.segments(entries)), docx.comments(entries), settled(docx.footnotes(entries))
 
 

@@ -218,3 +218,11 @@ def test_large_packages_come_in_several_batches(spark):
     many = package("".join(para(run(f"p{i}")) for i in range(docx.ROWS + 10)))
     rows = docx.segments(docx.parts(spark.createDataFrame([("/many.docx", many)], "path string, content binary")))
     assert rows.count() == docx.ROWS + 10 and rows.select("body_idx").distinct().count() == docx.ROWS + 10
+
+
+def test_packages_are_opened_where_they_are(spark):
+    docs = spark.createDataFrame([(f"/in/{n}.docx", c[0]) for n, c in CASES.items()], "path string, content binary")
+    parts = docx.parts(docs)
+    for table in (docx.segments, docx.comments, docx.footnotes):
+        assert sorted(table(docs).collect(), key=str) == sorted(table(parts).collect(), key=str)
+    assert "Exchange" not in docx.segments(docs)._jdf.queryExecution().toString()
