@@ -23,7 +23,7 @@ def payload_lines(lines: DataFrame) -> DataFrame:
 
 def evaluated(lines: DataFrame) -> DataFrame:
     """Adds pairs, edit and reason to lines(..., line)."""
-    parsed = lines.withColumn("pairs", J.pairs_of(F.col("line"))).withColumn("edit", J.edit_of(F.col("pairs")))
+    parsed = lines.withColumn("pairs", J.pairs_of(F.col("line"))).withColumn("edit", J.edit_of_line(F.col("line")))
     return parsed.withColumn("reason", J.reason_of(F.col("edit")))
 
 

@@ -94,6 +94,22 @@ def test_comments_replies_and_footnotes_have_effects(spark):
     assert [r.text for r in bare.comments.collect()] == ["look here"]
 
 
+def test_lines_are_shuffled_once_to_meet_their_targets(spark):
+    """The shuffles of a plan whose tables are too large for broadcasts, and no join that buffers lines."""
+    frames = [spark.createDataFrame([], schema) for schema in (LINES, PARAGRAPHS, COMMENTS, REVISIONS)]
+    plan = Y._targets(Y._read(frames[0], True, "Medium"), *frames[1:])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert "pairs" not in plan and "bookmark_id" not in plan[: plan.index("Exchange")]
+
+
+def test_repeated_lines_are_told_apart(spark):
+    """Of two equal lines with one number the first is applied; only the second finds its old text gone."""
+    line = edit("P1", "replace_text", old_text="a", new_text="x")
+    out, _, texts = applied(spark, [(1, 5, line), (1, 5, line), (2, 5, "no json"), (1, 6, None)], [("P1", "a")])
+    assert sorted((r.line_no, r.why, r.text_after) for r in out.plan.collect() if r.why != "PARSE") == [(5, "", "x"), (5, "OLD_TEXT_NOT_FOUND", None)]
+    assert sorted((r.doc_id, r.line_no) for r in out.plan.collect() if r.why == "PARSE") == [(1, 6), (2, 5)] and texts == {"P1": "x"}
+
+
 def test_verdicts_decide_once_and_also_own_edits(spark):
     revisions = [(1, "R1", "P1", "ins", "A", "w"), (1, "R2", "P1", "del", "B", "v"), (1, "R3", "P2", "ins", "A", "u"), (2, "R1", "P1", "ins", "A", "w")]
     lines = [
