@@ -54,12 +54,18 @@ def snap(edits: DataFrame, synthetic: DataFrame) -> DataFrame:
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
-    """Sorted spans, those that touch or overlap as one."""
+    """Sorted spans, those that touch or overlap as one.
+
+    A merged span is told by its last row, which knows how far all before it reach, so spans are sorted once, never hashed,
+    and what follows by doc_id finds them in order.
+    """
     order = Window.partitionBy("doc_id").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_new", F.when(F.col("s") <= reach, 0).otherwise(1))
-    islands = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("doc_id", "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    marked = spans.select("doc_id", "s", "e", (~F.coalesce(F.col("s") <= reach, F.lit(False))).alias("_new"))
+    first = F.last(F.when(F.col("_new"), F.struct("s")), ignorenulls=True).over(upto)["s"]
+    told = marked.select("doc_id", first.alias("s"), F.max("e").over(upto).alias("e"), F.lead("_new", 1, True).over(order).alias("_last"))
+    return told.filter("_last").drop("_last")
 
 
 def resolve_points(points: DataFrame, runs: DataFrame, locked: DataFrame) -> DataFrame:

@@ -133,6 +133,17 @@ def test_snapping_over_marks(spark):
     assert sorted((r.s, r.e) for r in merged.collect()) == [(0, 3), (5, 9)]
 
 
+def test_merged_spans_are_sorted_once(spark):
+    """Touching, nested, equal and single spans; none of them is hashed, or sorted again for the joins that follow."""
+    rows = [(1, 0, 2), (1, 2, 3), (1, 3, 3), (1, 5, 20), (1, 6, 7), (1, 8, 9), (1, 20, 21), (2, 0, 1), (2, 0, 1), (2, 4, 5)]
+    spans = spark.createDataFrame(rows, "doc_id long, s int, e int")
+    merged = A.merge_spans(spans)
+    assert sorted((r.doc_id, r.s, r.e) for r in merged.collect()) == [(1, 0, 3), (1, 5, 21), (2, 0, 1), (2, 4, 5)]
+    edits = spark.createDataFrame([(1, 0, 2, 20)], "doc_id long, edit_id int, md_start int, md_end int")
+    plan = A.snap(edits.hint("merge"), merged)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort [") == 3
+
+
 def test_points_and_boundaries(spark):
     blocks = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 7, 12)], "doc_id long, block_seq int, md_start int, md_end int")
     points = spark.createDataFrame([(1, i, p) for i, p in enumerate((0, 5, 6, 9, 12, 20))], "doc_id long, edit_id int, pos int")
