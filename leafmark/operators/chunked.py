@@ -70,7 +70,8 @@ def check(exports: DataFrame, blocks: DataFrame, responses: DataFrame, runs: Dat
     answered = _by_chunk(asked.filter("response is not null").drop("base_offset"))
     read = settled(G.read_responses(answered))  # tokens are read for both phases
     told = G.text_gates(read, _by_chunk(chunk_blocks)).select("doc_id.*", "gate", "at")
-    absent = asked.filter("response is null").select("doc_id", "chunk_index", F.lit(NO_RESPONSE).alias("gate"), F.lit(None).cast("int").alias("at"))
+    absent = pieces.select("doc_id", "chunk_index").join(read.select("doc_id.*"), ["doc_id", "chunk_index"], "left_anti")  # not from responses, which would be made again
+    absent = absent.select("doc_id", "chunk_index", F.lit(NO_RESPONSE).alias("gate"), F.lit(None).cast("int").alias("at"))
     failed = told.filter("gate is not null").unionByName(absent).groupBy("doc_id").agg(F.min(F.struct("chunk_index", "gate", "at")).alias("_f"))
     first = settled(failed.select("doc_id", "_f.*"))
 

@@ -25,9 +25,14 @@ def first_divergence(a: Column, b: Column, around: int = 120) -> Column:
 
 
 def read_responses(responses: DataFrame) -> DataFrame:
-    """responses(doc_id, response, exported, header_length) with the tokenizer's result beside normalised texts."""
-    plain = responses.withColumn("response", normalize_newlines(F.col("response"))).withColumn("exported", normalize_newlines(F.col("exported")))
-    return plain.withColumn("r", tokenized(F.col("response"), F.col("header_length")))
+    """responses(doc_id, response, exported, header_length) as what the gates need of them: doc_id, r (error, error_at,
+    tokens), and whether the header is there and the stripped response equals the export. The texts themselves stay behind."""
+    response, exported = normalize_newlines(F.col("response")), normalize_newlines(F.col("exported"))
+    plain = responses.select("doc_id", response.alias("response"), exported.alias("exported"), "header_length")
+    read = plain.withColumn("r", tokenized(F.col("response"), F.col("header_length")))
+    header = F.startswith("response", F.substring("exported", F.lit(1), F.col("header_length").cast("int")))
+    told = F.struct(*[F.col(f"r.{c}").alias(c) for c in ("error", "error_at", "tokens")])
+    return read.select("doc_id", told.alias("r"), header.alias("header_kept"), (F.col("r.stripped") == F.col("exported")).alias("text_kept"))
 
 
 def edits_of(read: DataFrame) -> DataFrame:
@@ -37,18 +42,17 @@ def edits_of(read: DataFrame) -> DataFrame:
 
 def text_gates(read: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per document the first failing gate of phase one: gate and at (a place in the response), null where all pass."""
-    header = F.substring("exported", F.lit(1), F.col("header_length").cast("int"))
     edits = edits_of(read)
     crossing = A.crossing_blocks(edits, blocks).join(edits.select("doc_id", "edit_id", "raw_start"), ["doc_id", "edit_id"]).groupBy("doc_id").agg(F.min("raw_start").alias("_cross"))
     broken = edits.filter(F.contains("new_text", F.lit("\n"))).groupBy("doc_id").agg(F.min("raw_start").alias("_line"))
     rows = read.join(crossing, "doc_id", "left").join(broken, "doc_id", "left")
     none = F.lit(None).cast("int")
     found = (
-        F.when(~F.startswith("response", header), F.struct(F.lit("G2").alias("gate"), none.alias("at")))
+        F.when(~F.col("header_kept"), F.struct(F.lit("G2").alias("gate"), none.alias("at")))
         .when(F.col("r.error").isNotNull(), F.struct(F.lit("G1").alias("gate"), F.col("r.error_at").alias("at")))
         .when(F.col("_cross").isNotNull(), F.struct(F.lit("G1").alias("gate"), F.col("_cross").alias("at")))
         .when(F.col("_line").isNotNull(), F.struct(F.lit("G1").alias("gate"), F.col("_line").alias("at")))
-        .when(F.col("r.stripped") != F.col("exported"), F.struct(F.lit("G2").alias("gate"), none.alias("at")))
+        .when(~F.col("text_kept"), F.struct(F.lit("G2").alias("gate"), none.alias("at")))
     )
     return rows.select("doc_id", found["gate"].alias("gate"), found["at"].alias("at"))
 

@@ -19,8 +19,11 @@ def _inputs(spark, sf_dir):
     ids = lines(spark, sf_dir).select("doc_id").distinct()
     joined = shown.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "shown"))), lambda x: x["shown"]), "\n\n").alias("body"))
     exports = ids.join(joined, "doc_id", "left").select("doc_id", F.concat(F.lit(HEADER), F.coalesce(F.concat(F.lit("\n\n"), "body"), F.lit(""))).alias("exported"))
-    start = len(HEADER) + 2 + F.coalesce(F.sum(F.length("shown") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = shown.select("doc_id", F.col("i").alias("block_seq"), F.when(F.col("i") % 3 == 0, "heading").otherwise("p").alias("kind"), start.cast("long").alias("md_start"), (start + F.length("shown")).cast("long").alias("md_end"))
+    i = F.col("i")
+    sizes = lines(spark, sf_dir).filter(F.trim("line") != "").select("doc_id", "line_no", F.length("line").alias("n"), F.length(F.ltrim("line")).alias("bare"))  # places need no texts
+    sized = sizes.withColumn("i", F.row_number().over(order) - 1).select("doc_id", "line_no", "i", F.when(i % 3 == 0, F.col("bare") + 2).otherwise(F.col("n")).alias("n"))
+    start = len(HEADER) + 2 + F.coalesce(F.sum(F.col("n") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sized.select("doc_id", i.alias("block_seq"), F.when(i % 3 == 0, "heading").otherwise("p").alias("kind"), start.cast("long").alias("md_start"), (start + F.col("n")).cast("long").alias("md_end"))
     chunk = F.floor(F.col("block_seq") / 3)
     heads = blocks.filter("kind = 'heading'").withColumn("k", F.col("doc_id") + chunk)
     prefix = F.when(F.col("kind") == "heading", 2).otherwise(0)

@@ -218,3 +218,11 @@ def test_the_first_bad_chunk_decides(spark):
     got = {r.doc_id: (r.gate, r.chunk_index, r.at, r.edit_id) for r in out.verdicts.collect()}
     assert got == {1: (None,) * 4, 2: ("G1", 1, good[1].index("bbb") + 1, None), 3: ("G2", 2, None, None), 4: ("NO_RESPONSE", 1, None, None), 5: ("G4", None, None, 1), 6: ("G2", 0, None, None)}
     assert [(r.doc_id, r.edit_id, r.chunk_index, r.md_start) for r in out.edits.orderBy("edit_id").collect()] == [(5, 0, 0, text[0].index("aaa") + 1), (5, 1, 2, at + 1)]
+
+
+def test_what_is_read_of_responses_holds_no_texts(spark):
+    """The gates' table is written once and read often: whole responses and exports aren't part of it."""
+    rows = [(1, "# h\n\na{++b++}", "# h\n\na", 3), (2, "# h\n\nac", "# h\n\na", 3), (3, "x", "# h\n\na", 3), (4, "# h\r\n\r\na", "# h\n\na", 3)]
+    read = G.read_responses(spark.createDataFrame(rows, "doc_id long, response string, exported string, header_length int"))
+    assert read.columns == ["doc_id", "r", "header_kept", "text_kept"] and read.schema["r"].dataType.names == ["error", "error_at", "tokens"]
+    assert {r.doc_id: (r.header_kept, r.text_kept) for r in read.collect()} == {1: (True, True), 2: (True, False), 3: (False, False), 4: (True, True)}
