@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmark.staging import settled
+
 # fixed values: what a label of each kind may say, and the recommendations
 FIELDS = {"C": ("reply", "recommend"), "R": ("recommend", "rationale")}
 RECOMMENDATIONS = {"C": ("resolve", "keep"), "R": ("accept", "reject")}
@@ -70,14 +72,25 @@ def _code(known: Column, most: int) -> Column:
     )
 
 
-def answer(lines: DataFrame, targets: DataFrame, addressed: DataFrame | None = None, most_chars: int = MOST_CHARS) -> Answered:
-    """What becomes of each line, and what the sound ones do."""
+def checked(lines: DataFrame, targets: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """Each line read and checked by itself, once for all that is asked of it: code is empty where it is sound."""
     known = targets.select("doc_id", "label").distinct().withColumn("_known", F.lit(True))
     rows = parsed(lines).join(known, ["doc_id", "label"], "left").withColumn("code", _code(F.coalesce("_known", F.lit(False)), most_chars))
+    return settled(rows.select("doc_id", "payload_no", "line_no", "line", "label", "reply", "recommend", "rationale", "code"))
+
+
+def answer(lines: DataFrame, targets: DataFrame, addressed: DataFrame | None = None, most_chars: int = MOST_CHARS) -> Answered:
+    """What becomes of each line, and what the sound ones do."""
+    return answered(checked(lines, targets, most_chars), addressed)
+
+
+def answered(rows: DataFrame, addressed: DataFrame | None = None) -> Answered:
+    """`answer` for rows of `checked`, which serve several runs."""
     place = F.struct("payload_no", "line_no", "line")
     first = rows.filter("code = ''").groupBy("doc_id", "label").agg(F.min(place).alias("_first"))
     if addressed is not None:
         first = first.join(addressed.select("doc_id", "label").distinct(), ["doc_id", "label"], "left_anti")
+    applied = first.select("doc_id", "label")
     rows = rows.join(first, ["doc_id", "label"], "left").withColumn("code", F.when((F.col("code") == "") & ~F.coalesce(place == F.col("_first"), F.lit(False)), "ALREADY_ADDRESSED").otherwise(F.col("code")))
     plan = rows.select("doc_id", "payload_no", "line_no", F.coalesce("label", F.lit("")).alias("label"), "reply", F.lower("recommend").alias("recommend"), "rationale", "code")
     going = plan.filter("code = ''").dropDuplicates(["doc_id", "label"])
@@ -86,5 +99,5 @@ def answer(lines: DataFrame, targets: DataFrame, addressed: DataFrame | None = N
         plan=plan,
         comments=going.select("doc_id", "label", told.alias("text"), F.startswith("label", F.lit("C")).alias("threaded")).filter("text != ''"),
         resolved=going.filter("recommend = 'resolve'").select("doc_id", "label"),
-        addressed=going.select("doc_id", "label"),
+        addressed=applied,
     )

@@ -70,8 +70,8 @@ def answered_comments(spark, sf_dir):
 def answered_twice(spark, sf_dir):
     """The same payload again, after what it addressed was kept: how many lines change something, per code."""
     lines, targets, before = _answers(spark, sf_dir)
-    first = L.answer(lines, targets, before)
-    again = L.answer(lines, targets, before.unionByName(first.addressed))
+    rows = L.checked(lines, targets)
+    again = L.answered(rows, before.unionByName(L.answered(rows, before).addressed))
     return again.plan.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -177,3 +177,18 @@ def test_sections_show_what_the_package_holds(spark):
     assert got["n", "BOOKMARK_INDEX"].count(" | type=") == 14 and 'AR_CELL_1_1_1 | type=table_cell | "a b"' in got["n", "BOOKMARK_INDEX"]
     assert got["p", "DOCUMENT_TEXT"] == framed("DOCUMENT_TEXT", "") and got["p", "COMMENTS"] == framed("COMMENTS", lines("(No comments in document)")) and ("p", "FOOTNOTES") not in got
     assert got["p", "BOOKMARK_INDEX"] == framed("BOOKMARK_INDEX", lines("(No AR bookmarks found in document)")) and got["p", "REVISIONS"] == framed("REVISIONS", lines("(No revisions in document)"))
+
+
+def test_lines_are_read_once_for_two_runs(spark):
+    """Rows that were checked serve a second run without being read again, and it changes nothing."""
+    from leafmark.operators import labels
+
+    lines = spark.createDataFrame([(1, 0, 0, "[C1] reply: a"), (1, 0, 1, "[C01] reply: b"), (1, 0, 2, "[R2] recommend: accept"), (1, 1, 0, "[C9] reply: x")], "doc_id long, payload_no int, line_no long, line string")
+    targets = spark.createDataFrame([(1, "C1"), (1, "R2")], "doc_id long, label string")
+    rows = labels.checked(lines, targets)
+    first = labels.answered(rows)
+    assert sorted(r.label for r in first.addressed.collect()) == ["C1", "R2"]
+    again = labels.answered(rows, first.addressed)
+    assert "regexp" not in again.plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.label, r.code) for r in again.plan.collect()) == [("C1", "ALREADY_ADDRESSED"), ("C1", "ALREADY_ADDRESSED"), ("C9", "UNKNOWN_LABEL"), ("R2", "ALREADY_ADDRESSED")]
+    assert again.comments.collect() == [] and again.addressed.collect() == []
