@@ -77,13 +77,13 @@ def rules(text: Column) -> Column:
 def personas(files: DataFrame) -> DataFrame:
     """One row per file: name, the five sections, assistant_url and a warning per missing section."""
     found = sections(files)
-    usual = found.filter("not is_title").withColumn("_heading", normalized_heading(F.col("heading")))
-    picked = [F.min_by(F.when(F.contains("_heading", F.lit(m)), F.col("body")), F.when(F.contains("_heading", F.lit(m)), F.col("section_no"))).alias(c) for c, m in SECTIONS.items()]
-    rows = files.select("path").join(usual.groupBy("path").agg(*picked), "path", "left")
-    title = found.filter("is_title").select("path", F.col("heading").alias("_title"))
+    named = F.when(~F.col("is_title"), normalized_heading(F.col("heading")))
+    picked = [F.min_by(F.when(F.contains(named, F.lit(m)), F.col("body")), F.when(F.contains(named, F.lit(m)), F.col("section_no"))).alias(c) for c, m in SECTIONS.items()]
+    title = F.max(F.when(F.col("is_title"), F.col("heading"))).alias("_title")
+    rows = files.select("path").join(found.groupBy("path").agg(*picked, title), "path", "left")  # sections are found once for both
     fields = front_matter(files).groupBy("path").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"_{k}") for k in ("name", "assistantUrl")])
     file_name = F.regexp_replace(F.substring_index("path", "/", -1), r"(?i)\.md\z", "")
-    out = rows.join(title, "path", "left").join(fields, "path", "left")
+    out = rows.join(fields, "path", "left")
     warnings = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(f"Missing section: {c}")) for c in SECTIONS]), lambda w: w.isNotNull())
     text = lambda c: F.coalesce(c, F.lit(""))
     return out.select(

@@ -94,3 +94,13 @@ def test_prompts_and_repairs(spark):
     a, b, c = (r.repair for r in told.orderBy("doc_id").collect())
     assert a == f'{N.AFRESH}m\nNear: "…{"x" * 160}…"\n{N.ADVICE["G1"]}'
     assert b == f'm\nIt differs from place 3 on.\nYou wrote: "a"\nExpected: "b"\n{N.ADVICE["G2"]}' and c == "m"
+
+
+def test_persona_sections_are_found_once(spark):
+    """Title and sections come from one pass over the lines, so a task holds no third sorted copy of them."""
+    from leafmark.sources import persona
+
+    files = spark.createDataFrame([("/p/a.md", "# A\n## Role\nr\n# Style exemplar\nraw\n"), ("/p/b.md", "no heading"), ("/p/c.md", "## Role\nx")], "path string, text string")
+    out = persona.personas(files)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+    assert sorted((r.name, r.role_and_voice, len(r.style_exemplars), len(r.warnings)) for r in out.collect()) == [("A", "r", 1, 3), ("b", "", 0, 5), ("c", "x", 0, 4)]
