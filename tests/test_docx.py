@@ -226,3 +226,55 @@ def test_packages_are_opened_where_they_are(spark):
     for table in (docx.segments, docx.comments, docx.footnotes):
         assert sorted(table(docs).collect(), key=str) == sorted(table(parts).collect(), key=str)
     assert "Exchange" not in docx.segments(docs)._jdf.queryExecution().toString()
+
+
+def cut(i, body_idx, run_index, at, op, text):
+    return {"body_idx": body_idx, "row_no": -1, "cell_no": -1, "para_no": -1, "edit_id": i, "seq": 0, "run_index": run_index, "at": at, "to": at, "op": op, "text": text}
+
+
+def test_only_what_an_edit_meets_is_written_anew(monkeypatch):
+    """Other bytes stay, however they are written, and only the touched element becomes a tree."""
+    parsed, parse = [], inject.minidom.parseString
+    monkeypatch.setattr(inject.minidom, "parseString", lambda s: parsed.append(len(s)) or parse(s))
+    line = "<w:p><w:r><w:t>é &amp; x</w:t></w:r></w:p>"
+    head, tail = "<?xml version='1.0'?>\n<w:document xmlns:w='urn:w' w:q='a>b'><w:body> <w:p w:a='1>2'/>\n", f"<w:p/>{line * 500}<w:ins w:id='7'/><w:sectPr w:b='>'/> </w:body></w:document>\n"
+    cuts = [cut(0, 1, 0, 1, "ins", "!"), cut(1, 1, -1, 0, "p_after", "new")]
+    got = inject._edited("/p.docx", (head + line + tail).encode(), cuts, "A", "D").decode()
+    assert got.startswith(head) and got.endswith(tail) and max(parsed) < 500
+    assert re.findall(r'w:id="(\d+)"', got) == ["8", "9", "10"] and "é</w:t>" in got and '<w:t xml:space="preserve"> &amp; x</w:t>' in got
+    wide = (head.replace("'1.0'", "'1.0' encoding='UTF-16'") + line + tail).encode("utf-16")
+    assert '<w:ins w:id="8"' in inject._edited("/p.docx", wide, cuts, "A", "D").decode()
+    with pytest.raises(ValueError, match="is not a paragraph"):
+        inject._edited("/p.docx", (head + line + tail).encode(), [cut(0, 900, 0, 0, "ins", "!")], "A", "D")
+
+
+def test_packages_are_edited_in_one_pass(spark):
+    """Without comments no comment part is asked for, and a package meets its edits once, not part by part."""
+    docs = spark.createDataFrame([(f"/{i}.docx", package(para(run("one")) + para(run("two")))) for i in range(3)], "path string, content binary")
+    edits = spark.createDataFrame([("/1.docx", *edit(0, "ins", [(1, 0, 3, 3)], "!")[1:]), ("/2.docx", *edit(0, "none", [(1, 0, 3, 3)])[1:])], EDITS)
+    out = inject.inject(docx.parts(docs), edits, "R", "2026-07-05T00:00:00Z", docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and plan.count("MapInArrow") == 1
+    got = {r.path: bytes(r.content) for r in out.collect()}
+    assert set(got) == {"/1.docx", "/2.docx"} and got["/2.docx"] == bytes(docs.filter("path = '/2.docx'").first().content)
+    shown = docx.export(spark.createDataFrame([("/1.docx", got["/1.docx"])], "path string, content binary")).first().markdown
+    assert shown.endswith("one\n\ntwo{++!++}\n")
+    with pytest.raises(Exception, match="has no word/document.xml"):
+        inject.inject(docx.parts(docs), edits.withColumn("path", F.lit("/missing.docx")), "R", "2026-07-05T00:00:00Z", docs).collect()
+
+
+def test_small_parts_come_together(spark):
+    fields = docx.pa.schema([("path", docx.pa.string()), ("content", docx.pa.binary())])
+    rows = [{"path": str(i), "content": b"x" * n} for i, n in enumerate((10, 20, docx.BATCH_BYTES, 5, 6))]
+    assert [b.num_rows for b in docx.in_batches(rows, fields)] == [3, 2]
+
+
+def test_paragraphs_of_one_segment_are_not_gathered(spark):
+    """They stand beside those that are put in order: marks, neighbouring changes and edges with white space."""
+    body = para(run("  one ")) + para(change("ins", "a"), change("ins", "b")) + para(change("del", "c")) + para(run(" ")) + para(run("x", "<w:b/>"))
+    held = docx.segments(spark.createDataFrame([("/p.docx", package(body))], "path string, content binary"))
+    rows = docx.pieces(held, docx.comments(docx.parts(spark.createDataFrame([("/p.docx", package(body))], "path string, content binary"))))
+    want = [("one", 2, 0, 0), ("{++ab++}", 0, 1, 0), ("{--c--}", 0, 0, 1), ("", 1, 0, 0), ("**x**", 0, 0, 0)]
+    get = lambda rows: [(r.text, r.lead, r.ins, r["del"]) for r in docx.paragraphs(rows).orderBy("body_idx").collect()]
+    assert get(rows) == get(rows.drop("segs")) == want
+    assert sorted(map(str, docx.normalized(held).collect())) == sorted(map(str, docx.normalized(held.withColumn("tracked", F.lit(9))).withColumn("tracked", F.when(F.col("body_idx") == 1, 2).when(F.col("body_idx") == 2, 1).otherwise(0)).select(docx.normalized(held).columns).collect()))
