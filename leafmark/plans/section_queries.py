@@ -75,14 +75,15 @@ def format_changes(spark, sf_dir):
 
 def comments_added(spark, sf_dir):
     """Every package gets a comment and a reply to it, behind those that it has; what a reader finds then."""
-    entries = settled(docx.parts(_noted_packages(spark, sf_dir)))
-    paths = entries.select("path").distinct()
+    packages = settled(_noted_packages(spark, sf_dir))
+    held = docx.comment_parts(packages)
     last = F.coalesce(F.max(F.col("comment_id").cast("int")), F.lit(-1)) + 1
-    first = paths.join(docx.comments(entries).select("path", "comment_id"), "path", "left").groupBy("path").agg(last.cast("string").alias("_id"))
+    notes, paras, _ = docx._comment_tables(held)
+    every = packages.select("path", F.lit(None).cast("string").alias("comment_id")).unionByName(notes.select("path", "comment_id"))
+    first = every.groupBy("path").agg(last.cast("string").alias("_id"))
     told = F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit("please <check> & reply").alias("text"), F.lit(None).cast("string").alias("parent_id")), F.struct(F.lit(2).alias("n"), F.lit("done").alias("text"), F.col("_id").alias("parent_id"))))
     new = first.select("path", told.alias("x")).select("path", "x.n", F.lit("R").alias("author"), F.lit(SECOND).alias("date"), "x.text", "x.parent_id")
-    changed = settled(docx.add_comments(entries, settled(new)))
-    after = docx.parts(docx.patched(_noted_packages(spark, sf_dir), changed))
+    after = docx.patched(packages, docx.added_comments(held, paras, settled(docx.numbered_behind(notes, new))))
     return docx.comments(after).select("path", "comment_id", "author", "text", "parent_id")
 
 

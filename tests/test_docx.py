@@ -278,3 +278,17 @@ def test_paragraphs_of_one_segment_are_not_gathered(spark):
     get = lambda rows: [(r.text, r.lead, r.ins, r["del"]) for r in docx.paragraphs(rows).orderBy("body_idx").collect()]
     assert get(rows) == get(rows.drop("segs")) == want
     assert sorted(map(str, docx.normalized(held).collect())) == sorted(map(str, docx.normalized(held.withColumn("tracked", F.lit(9))).withColumn("tracked", F.when(F.col("body_idx") == 1, 2).when(F.col("body_idx") == 2, 1).otherwise(0)).select(docx.normalized(held).columns).collect()))
+
+
+def test_comments_are_added_from_parts_read_once(spark, entries):
+    """Packages, their parts and `comment_parts` give the same, and all three tables of comments are read in one pass."""
+    docs = spark.createDataFrame([(f"/in/{n}.docx", c[0]) for n, c in CASES.items()], "path string, content binary")
+    new = spark.createDataFrame([("/in/threads.docx", 1, "D", "2026-07-03T00:00:00Z", "a", "0"), ("/in/threads.docx", 2, "F", "2026-07-03T00:00:00Z", "b", "4"), ("/in/table.docx", 1, "G", "2026-07-03T00:00:00Z", "c", None)], "path string, n int, author string, date string, text string, parent_id string")
+    held = docx.comment_parts(docs)
+    got = [sorted(map(str, docx.add_comments(x, new).collect())) for x in (entries, docs, held)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 6
+    notes, paras, extended = docx._comment_tables(held)
+    assert notes.inputFiles() == paras.inputFiles() == extended.inputFiles() and docx.comment_parts(held) is held
+    after = docx.patched(docs, docx.add_comments(held, new))
+    back = {(r.path[4:-5], r.comment_id): r.parent_id for r in docx.comments(after).collect()}
+    assert back["threads", "5"] == "4" and back["threads", "4"] == "0" and back["table", "0"] is None and len(back) == 7
