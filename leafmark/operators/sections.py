@@ -34,10 +34,20 @@ def _texts(c: Column, key: str, mark: str = "") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, c.alias("s")))), lambda x: x["s"]), mark)
 
 
+def _final() -> Column:
+    """What a segment shows in the final view."""
+    return F.when(F.col("t").isin("text", "ins", "opaque", "locked"), F.coalesce("text", F.lit(""))).otherwise("")
+
+
 def final_paragraphs(segments: DataFrame) -> DataFrame:
     """PLACE, container, style, is_list, text (final view), para_seq (from 1)."""
-    shown = F.when(F.col("t").isin("text", "ins", "opaque", "locked"), F.coalesce("text", F.lit(""))).otherwise("")
-    paras = segments.groupBy(*PLACE, "container", "style", "is_list").agg(_texts(shown, "seg_no").alias("text"))
+    told = "para_seq" in segments.columns
+    keys = [*PLACE, "container", "style", "is_list", *(["para_seq", "feet"] if told else [])]
+    rows = segments.withColumn("_s", _final())
+    several = rows.filter("segs > 1") if told else rows  # those of one segment are paragraphs as they stand
+    paras = several.groupBy(*keys).agg(_texts(F.col("_s"), "seg_no").alias("text"))
+    if told:
+        return paras.unionByName(rows.filter("segs = 1").select(*keys, F.col("_s").alias("text")))
     return paras.withColumn("para_seq", F.row_number().over(Window.partitionBy("path").orderBy(*_in_order())))
 
 
@@ -59,7 +69,10 @@ def footnote_anchors(footnotes: DataFrame) -> DataFrame:
 
 def revisions(segments: DataFrame) -> DataFrame:
     """path, rev_no, kind (ins or del), author, date, text of each tracked change in order."""
-    flat = normalized(segments).filter(F.col("t").isin("ins", "del", "sub"))
+    known = [c for c in ("tracked",) if c in segments.columns]
+    said = F.when(F.col("t").isin("ins", "del"), F.col("text")).alias("text")  # other texts only stand between
+    rows = segments.select(*PLACE, "seg_no", "t", said, "author", "date", "id", *known)
+    flat = normalized(rows.filter("tracked > 0") if known else rows).filter(F.col("t").isin("ins", "del", "sub"))
     half = lambda kind, text, n: F.struct(F.lit(kind).alias("kind"), F.col(text).alias("said"), F.lit(n).alias("_half"))
     split = F.when(F.col("t") == "sub", F.array(half("del", "text", 0), half("ins", "new_text", 1))).otherwise(F.array(F.struct(F.col("t").alias("kind"), F.col("text").alias("said"), F.lit(0).alias("_half"))))
     rows = flat.withColumn("x", F.explode(split)).select(*PLACE, "seg_no", "author", "date", "x.*")
@@ -121,9 +134,9 @@ def document_text(paras: DataFrame) -> DataFrame:
 
 def highlights(segments: DataFrame) -> DataFrame:
     """path, comment_id, highlight and scope: what a comment's range marks, and the sentence in which it begins."""
-    number = F.row_number().over(Window.partitionBy("path").orderBy(*_in_order("seg_no")))
-    shown = F.when(F.col("t").isin("text", "ins", "opaque", "locked"), F.coalesce("text", F.lit(""))).otherwise("")
-    rows = segments.withColumn("_at", number).withColumn("_s", shown)
+    rows = segments.filter("noted") if "noted" in segments.columns else segments
+    place = F.struct("body_idx", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("row_no", "cell_no")], "para_no", "seg_no")
+    rows = rows.select(*PLACE, "seg_no", "t", "id", place.alias("_at"), _final().alias("_s"))
     before = F.sum(F.length("_s")).over(Window.partitionBy(*PLACE).orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0))
     whole = rows.groupBy(*PLACE).agg(_texts(F.col("_s"), "seg_no").alias("_whole"))
     begins = rows.withColumn("_off", before).filter("t = 'cstart'").select(*PLACE, "id", "_at", "_off")
@@ -147,7 +160,8 @@ def export_sections(segments: DataFrame, comments: DataFrame, footnotes: DataFra
     entry = F.array(F.concat("anchor", F.lit(" | type="), "type", F.lit(' | "'), _snippet(F.col("text")), F.lit('"')))
     index = _listed(found, paths, "BOOKMARK_INDEX", "_o", entry, "(No AR bookmarks found in document)")
 
-    own = paras.select(*[F.col(c).alias(f"_r_{c}") for c in PLACE], F.col("text").alias("_para"))
+    referring = paras.filter("feet > 0") if "feet" in paras.columns else paras
+    own = referring.select(*[F.col(c).alias(f"_r_{c}") for c in PLACE], F.col("text").alias("_para"))
     placed = footnotes.join(own, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in PLACE], "left").withColumn("_para", F.coalesce("_para", F.lit("")))
     held = placed.filter((clean_one_line(F.col("text")) != "") | (clean_one_line(F.col("_para")) != ""))
     told = F.array(F.concat(F.lit("## Footnote "), F.col("note_no").cast("string")), F.concat(F.lit("Anchor: "), _snippet(F.col("_para"))), F.concat(F.lit("Text: "), clean_one_line(F.col("text"))), F.lit("---"))
