@@ -40,8 +40,18 @@ def _powers(base: int, prime: int, n: int) -> np.ndarray:
     return out[: n + 1]
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    units = [None if t is None else np.frombuffer(t.encode("utf-16-le"), dtype="<u2").astype(np.int64) for t in texts]
+def _units(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-16-le"), dtype="<u2").astype(np.int64)
+
+
+def _points(t: str) -> np.ndarray:
+    """The code points of a text; of an empty one -1, and none of a single null character."""
+    if t in ("", "\0"):
+        return np.array([] if t else [-1], dtype=np.int64)
+    return np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+
+
+def _told(units: list[np.ndarray | None]) -> pd.Series:
     longest = max((len(u) for u in units if u is not None), default=0)
     powers = [_powers(b, p, longest) for b, p in zip(BASES, PRIMES)]
     salts = np.arange(1, longest + 1) % SALT_PERIOD
@@ -54,6 +64,20 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([None if u is None else lane(u, 0) + lane(u, 1) for u in units])
 
 
+def _fingerprints(texts: pd.Series) -> pd.Series:
+    return _told([None if t is None else _units(t) for t in texts])
+
+
+def _point_fingerprints(texts: pd.Series) -> pd.Series:
+    return _told([None if t is None else _points(t) for t in texts])
+
+
 def fingerprint(s: Column) -> Column:
     """The same fingerprint for documents: each lane is a sum of terms, added up as whole arrays."""
     return F.pandas_udf(_fingerprints, StringType())(s)
+
+
+def fingerprint_points(s: Column) -> Column:
+    """The fingerprint over code points instead of code units, as the SQL of the registered queries counts them: the two agree but
+    for texts with characters beyond the first plane, empty ones and single null characters."""
+    return F.pandas_udf(_point_fingerprints, StringType())(s)

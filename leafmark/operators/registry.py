@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,9 +86,9 @@ def line_fingerprints(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(whole.alias("_whole")).select("doc_id", fingerprint(F.col("_whole")).alias("fingerprint"))
 
 
-def attested(text: Column) -> Column:
+def attested(text: Column, told: Callable[[Column], Column] = fingerprint) -> Column:
     """An export behind a head that tells its own fingerprint."""
-    return F.concat(F.lit("<<PAYLOAD_FINGERPRINT: "), fingerprint(text), F.lit(">>\r\n\r\n"), text)
+    return F.concat(F.lit("<<PAYLOAD_FINGERPRINT: "), told(text), F.lit(">>\r\n\r\n"), text)
 
 
 def log_rows(plan: DataFrame, lines: DataFrame, edits: DataFrame, logged_at: Column, confidence: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
-from leafmark.functions.fingerprint import fingerprint, fingerprint_sql
+from leafmark.functions.fingerprint import fingerprint_points, fingerprint_sql
 from leafmark.plans.inputs import TYPESET, table, texts, typeset
 
 # the same white space, characters and marks in the oracle's dialect
@@ -24,7 +24,7 @@ SELECT {key}, printf('%08X%08X', a, b) AS fingerprint FROM h"""
 
 
 def fingerprint_documents(spark, sf_dir):
-    return texts(spark, sf_dir).select("doc_id", fingerprint(F.col("text")).alias("fingerprint"))
+    return texts(spark, sf_dir).select("doc_id", fingerprint_points(F.col("text")).alias("fingerprint"))
 
 
 def fingerprint_names(spark, sf_dir):
